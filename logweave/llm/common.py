@@ -79,3 +79,24 @@ def shingles(text: bytes | None, width: int, words: WordTable) -> np.ndarray:
     for k in range(1, span):
         out = out * _STEP + h[k : len(h) - span + 1 + k]
     return np.unique(mix(out + np.uint64(span)))
+
+
+def summed(df: DataFrame, column: str = "v"):
+    """The elementwise sum of an array column, as a numpy vector; None without rows.
+
+    Elements are added where they are and combined by position, so the driver
+    gets one number a position however many rows there are.
+    """
+    rows = df.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    if not rows:
+        return None
+    out = np.zeros(max(r["k"] for r in rows) + 1)
+    for r in rows:
+        out[r["k"]] = r["x"]
+    return out
+
+
+def labels_of(labels: DataFrame, column: str) -> DataFrame:
+    """(id, y): one label an id, the larger of several; ids or labels that are null are left out."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col(column).alias("y")).where("id is not null and y is not null")
+    return known.groupBy("id").agg(F.max("y").cast("int").alias("y"))
