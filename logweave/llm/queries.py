@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from logweave.llm import minhash, packing, sharding
+from logweave.llm import minhash, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op3_sharding": sharding.query,
+    "op4_toxicity": toxicity.query,
+    "op7_quality_classifier": quality.query,
     "op9_packing": packing.query,
 }
 ORACLE: dict[str, str] = {}
