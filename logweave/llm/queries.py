@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from logweave.llm import minhash, packing, quality, sharding, toxicity
+from logweave.llm import minhash, packing, quality, sharding, suffix_tree, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op3_sharding": sharding.query,
     "op4_toxicity": toxicity.query,
     "op7_quality_classifier": quality.query,
+    "op8_suffix_tree": suffix_tree.query,
     "op9_packing": packing.query,
+    "op10_embedding_dedup": vectors.query,
 }
 ORACLE: dict[str, str] = {}
