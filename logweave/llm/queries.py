@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from logweave.llm import minhash, packing, quality, sharding, suffix_tree, toxicity, vectors
+from logweave.llm import chat, minhash, packing, pieces, quality, sharding, suffix_tree, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op2_sentencepiece": pieces.query,
     "op3_sharding": sharding.query,
     "op4_toxicity": toxicity.query,
+    "op5_chat_format": chat.query,
     "op7_quality_classifier": quality.query,
     "op8_suffix_tree": suffix_tree.query,
     "op9_packing": packing.query,
     "op10_embedding_dedup": vectors.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_chat_format": chat.ORACLE}

@@ -98,10 +98,13 @@ class WordIds:
         out = [self.to_id[k] for k in self.pieces(unit.encode() + _END)]
         return out if None not in out else self.whole.encode(unit, add_special_tokens=False).ids
 
+    def _encode_all(self, units: list[str]) -> list[list[int]]:
+        return list(map(self._encode, units))
+
     def _learn(self) -> None:
         """Encode the pieces that the index has just numbered."""
         units, self.index.fresh = self.index.fresh, []
-        fresh = list(map(self._encode, units))
+        fresh = self._encode_all(units)
         n, more = len(self.index) - len(units), sum(map(len, fresh))
         if self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), 2 * more), np.uint32)])
