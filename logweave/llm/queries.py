@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import chat, minhash, packing, pieces, quality, sharding, suffix_tree, toxicity, vectors
+from logweave.llm import chat, images, minhash, packing, pieces, quality, sharding, suffix_tree, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op4_toxicity": toxicity.query,
     "op5_chat_format": chat.query,
+    "op6_image_copies": images.query,
     "op7_quality_classifier": quality.query,
     "op8_suffix_tree": suffix_tree.query,
     "op9_packing": packing.query,
