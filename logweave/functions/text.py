@@ -88,7 +88,7 @@ def answer_text(c) -> Column:
     """The text between the last usable pair of tags of an answer; a missing end tag is added; null if there is none."""
     c = F.col(c) if isinstance(c, str) else c
     closed = F.when(F.contains(c, F.lit("<END>")), c).otherwise(F.concat(c, F.lit("<END>")))
-    inner = F.element_at(F.regexp_extract_all(closed, F.lit("(?s)<START>((?:(?!<START>).)+?)<END>")), -1)
+    inner = F.try_element_at(F.regexp_extract_all(closed, F.lit("(?s)<START>((?:(?!<START>).)+?)<END>")), F.lit(-1))
     return F.nullif(stripped(inner), F.lit(""))
 
 

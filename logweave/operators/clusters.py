@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.align import covered
 from logweave.functions.text import alphabetic_tokens
+from logweave.lineage import cut
 from logweave.shipping import ship
 
 
@@ -27,13 +28,14 @@ def subsumption_pairs(templates: DataFrame) -> DataFrame:
 
 def labelled(pairs: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
     """nodes(tid), pairs(a, b) -> (tid, root): smallest tid of each component, by passing minima along pairs and jumping to them."""
-    ends = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().persist()
-    label = nodes.select("tid", F.col("tid").alias("root"))
+    pairs = cut(pairs.select("a", "b"))
+    ends = cut(pairs.union(pairs.select("b", "a")).distinct())
+    label = cut(nodes.select("tid", F.col("tid").alias("root")))
     for _ in range(rounds):
         near = ends.join(label, ends.b == label.tid).groupBy("a").agg(F.min("root").alias("low"))
         stepped = label.join(near, label.tid == near.a, "left").select("tid", "root", F.least("root", F.coalesce("low", "root")).alias("next"))
         up = stepped.select(F.col("tid").alias("t"), F.col("next").alias("top"))
-        jumped = stepped.join(up, stepped.next == up.t).select("tid", "root", F.col("top").alias("next")).persist()
+        jumped = cut(stepped.join(up, stepped.next == up.t).select("tid", "root", F.col("top").alias("next")))
         moved = jumped.where("root <> next").limit(1).count()
         label = jumped.select("tid", F.col("next").alias("root"))
         if not moved:

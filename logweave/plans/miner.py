@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logweave.functions import align
 from logweave.functions.text import char_class, digits_masked, masked, merged_wildcards, squeezed, stripped
 from logweave.operators import adjudicate, clusters, matching
+from logweave.lineage import cut
 from logweave.shipping import ship
 from logweave.sources import logs as io
 
@@ -48,8 +49,8 @@ def _templates_of(logs: DataFrame, answers: Answers, rules: adjudicate.Adjudicat
     """logs(log) -> (log, template, held): initial template, grounded, judged, with what its wildcards hold."""
     spark = logs.sparkSession
     first = adjudicate.template_answers(logs, answers.of(spark, "extract", 1), rules)
-    first = first.withColumn("template", align.grounded(merged_wildcards(F.col("template")), "log")["template"]).persist()
-    units = first.select("log", F.posexplode(align.candidate_units("template", "log")).alias("pos", "u")).select("log", "pos", "u.text", "u.content").persist()
+    first = first.withColumn("template", align.grounded(merged_wildcards(F.col("template")), "log")["template"])
+    units = cut(first.select("log", F.posexplode(align.candidate_units("template", "log")).alias("pos", "u")).select("log", "pos", "u.text", "u.content"))
     verdicts = adjudicate.variable_answers(units.where("content <> ''").select("log", F.col("content").alias("snippet")), answers.of(spark, "variable", 2), rules)
     done = adjudicate.refined(units, verdicts).select("log", merged_wildcards(F.col("template")).alias("template"))
     return done.withColumn("g", align.collapsed("template", "log")).select("log", F.col("g.template").alias("template"), F.col("g.contents").alias("held"))
@@ -81,16 +82,17 @@ def mine(lines: DataFrame, answers: Answers | None = None, rules: adjudicate.Adj
     spark, answers, rules = lines.sparkSession, answers or Answers(), rules or adjudicate.Rules()
     ship(spark)
     known = None
-    rows = contents(lines).persist()
-    frontier = rows.groupBy("content").agg(F.min("LineId").alias("first")).persist()
+    rows = cut(contents(lines))
+    frontier = cut(rows.groupBy("content").agg(F.min("LineId").alias("first")))
     everything = frontier
     for _ in range(rounds):
         shape = digits_masked(masked("content"))
         seeds = frontier.groupBy(shape.alias("shape")).agg(F.min_by("content", "first").alias("log")).select("log")
         fresh = _with_patterns(_templates_of(seeds, answers, rules)).where("template is not null and template <> ''")
-        known = (fresh if known is None else known.unionByName(fresh)).dropDuplicates(["template"]).persist()
+        known = cut((fresh if known is None else known.unionByName(fresh)).dropDuplicates(["template"]))
         table = known.withColumn("cid", F.xxhash64("template"))
-        left = matching.matched(frontier, table).where("cid is null").select("content", "first").persist()
+        left = matching.matched(frontier, table).where("cid is null").select("content", "first")
+        left = cut(left)
         before, after = frontier.count(), left.count()
         frontier = left
         if not after or after == before:
@@ -100,9 +102,10 @@ def mine(lines: DataFrame, answers: Answers | None = None, rules: adjudicate.Adj
     hit = hit.select("content", F.coalesce("template", "content").alias("template"))
     merged = clusters.consolidated(table.select(F.col("cid").alias("tid"), "template")).select(F.col("tid").alias("cid"), F.col("template").alias("general"))
     by_template = table.select("cid", F.col("template").alias("t")).join(merged, "cid").select("t", "general")
-    final = hit.join(by_template, hit.template == by_template.t, "left").select("content", F.coalesce("general", "template").alias("EventTemplate"))
+    final = cut(hit.join(by_template, hit.template == by_template.t, "left").select("content", F.coalesce("general", "template").alias("EventTemplate")))
     ids = final.select("EventTemplate").distinct().select("EventTemplate", (F.row_number().over(Window.orderBy("EventTemplate")) - 1).cast("bigint").alias("EventId"))
-    assigned = rows.join(final, "content").join(ids, "EventTemplate").select("LineId", "EventId", "EventTemplate").persist()
+    assigned = rows.join(final, "content").join(ids, "EventTemplate").select("LineId", "EventId", "EventTemplate")
+    assigned = cut(assigned)
     return assigned, assigned.groupBy("EventId", "EventTemplate").agg(F.count("*").alias("Occurrences"))
 
 
