@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.lineage import cut
 from logweave.shipping import ship
 
+__all__ = ["cut", "labels_of", "mix", "remainder", "rows_for", "shingles", "summed", "table", "WordTable"]
+
 #: Distinct words that one Python worker remembers before it starts afresh.
 WORD_CACHE = 600_000
 
@@ -27,31 +27,6 @@ def rows_for(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(docs[old].alias(new) for new, old in columns.items()))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A folder of this session's own below spark.checkpoint.dir, removed when the driver ends."""
-    context = spark.sparkContext
-    if not getattr(context, "_logweave_folder", None):
-        above = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        own = not above  # as in tests on one machine
-        above = above or tempfile.mkdtemp(prefix="logweave-checkpoints-")
-        folder = f"{above.rstrip('/')}/logweave-{uuid.uuid4().hex}"
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path.getParent() if own else path)
-        context._logweave_folder = folder
-    return context._logweave_folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder as a table and read it back, so
-    that neither a lost executor nor a second use recomputes what stands above it."""
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(column: str, modulus: int):
     """crc32 of the id written as text, modulo `modulus`; null ids count as remainder 0 of crc32('')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -48,6 +48,10 @@ class Vocabulary:
         self.longest = max(map(len, self.scores), default=1)
         self.alphabet = {c for p in self.scores for c in p}
         self.follow: dict[tuple[str, str], bool] = {}
+        ends: dict[str, set[int]] = {}  # lengths of the pieces that end alike: by their last three characters, or all of a shorter one
+        for p in self.scores:
+            ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -83,6 +87,7 @@ class Vocabulary:
     def segment(self, words: list[str]) -> list[list[str]]:
         """Pieces of each word, for sorted distinct words of known characters."""
         scores, longest, merge, follow = self.scores, self.longest, self.kind == "merge", self.follow
+        ends, none, one = self.ends.get, [], [1]
         best, start = [0.0], [0]  # by prefix length: forward score, where its last piece begins
         last: list[str] = [""]
         out, before = [], ""
@@ -95,8 +100,10 @@ class Vocabulary:
             for end in range(common + 1, n + 1):
                 low = end - longest if end > longest else 0
                 if merge:
-                    for i in range(low, end):
-                        piece = word[i:end]
+                    tails = ends(word[end - 3 : end], none) + ends(word[end - 2 : end], none) if end > 2 else ends(word[:end], none) if end == 2 else none
+                    for n_ in tails + one:
+                        i = end - n_
+                        piece = word[i:end] if i >= 0 else ""
                         if piece in scores:
                             if i:
                                 ok = follow.get((last[i], piece))
