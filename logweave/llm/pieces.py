@@ -172,6 +172,26 @@ class PieceIds(WordIds):
             out.append(ids)
         return out
 
+    def all_ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """ids of many texts: their new words are sorted together, so that they share most prefixes."""
+        if self.full:
+            self._clear()
+        number = self.index.__getitem__
+        at = [np.array(list(map(number, self._units(t.decode("utf-8", "replace")))) if t else [], np.int64) for t in texts]
+        if self.index.fresh:
+            self._learn()
+            self.full = len(self.index) > self.limit
+        out = []
+        for k in at:
+            size = self.length[k]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.arange(int(size.sum())) + np.repeat(self.start[k] - (ends - size), size)])
+        return out
+
+    def each(self, texts: list[bytes | None], together: int = 1000) -> Iterator[np.ndarray]:
+        for k in range(0, len(texts), together):
+            yield from self.all_ids(texts[k : k + together])
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined where they stand, marks as spaces, the one put in front taken off."""
         v = self.vocabulary
@@ -195,7 +215,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _ids_for(model)
         for batch in batches:
-            ids = [words.ids(t).astype(np.int32) for t in batch.column("text").to_pylist()]
+            ids = [x.astype(np.int32) for x in words.each(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -222,8 +242,8 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
         words = _ids_for(model)
         for batch in batches:
             n, crc, same = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = words.ids(text)
+            texts = batch.column("text").to_pylist()
+            for text, ids in zip(texts, words.each(texts), strict=True):
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 same.append(words.decode(ids).encode() == (text or b""))
