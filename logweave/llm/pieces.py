@@ -142,7 +142,8 @@ class PieceIds(WordIds):
         self.vocabulary, self.limit = vocabulary, limit
         known = "".join(sorted(re.escape(c) for c in vocabulary.alphabet if c != MARK))
         self.cut = re.compile(f"{MARK}*[{known}]+|{MARK}+|.", re.DOTALL)
-        self.pieces_of = {i: p for p, i in vocabulary.ids.items()}
+        self.bytes_of = {k: bytes([b]) for b, k in enumerate(vocabulary.byte_ids or [])} | {i: p.encode() for p, i in vocabulary.ids.items()}
+        self.bytes_of[vocabulary.unknown] = " ⁇ ".encode()
         self._clear()
 
     def _units(self, text: str) -> list[str]:
@@ -194,10 +195,7 @@ class PieceIds(WordIds):
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined where they stand, marks as spaces, the one put in front taken off."""
-        v = self.vocabulary
-        of_byte = {k: bytes([b]) for b, k in enumerate(v.byte_ids or [])}
-        table = self.__dict__.setdefault("_bytes", of_byte | {i: p.encode() for i, p in self.pieces_of.items()} | {v.unknown: " ⁇ ".encode()})
-        text = b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
