@@ -164,14 +164,14 @@ def term_freq(spark, sf_dir: str) -> DataFrame:
     return similarity.term_freq(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS qid, {_LETTERS.format(c='text')} AS t FROM conversations WHERE turn = 0),
+@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS qid, {_LETTERS.format(c='text')} AS t FROM conversations),
 e AS (SELECT item_id AS cid, {_LETTERS.format(c='text')} AS t FROM benchmark),
 h AS (SELECT qid, cid, count(*) AS hits FROM (SELECT qid, unnest(t) AS token FROM q) JOIN (SELECT DISTINCT cid, unnest(t) AS token FROM e) USING (token) GROUP BY ALL),
 s AS (SELECT qid, cid, hits, coalesce(hits / nullif(len(q.t) + len(e.t) - hits, 0), 1.0) AS score FROM h JOIN q USING (qid) JOIN e USING (cid))
 SELECT qid, cid, CAST(round(score * 1e9) AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
 def knn_examples_topk(spark, sf_dir: str) -> DataFrame:
-    """Whole texts of opening turns against every benchmark item: the top three are the feature."""
-    q = table(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    """Every turn against every benchmark item: the top three are the feature."""
+    q = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
     found = similarity.nearest_examples(q, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cid"), "text"))
     return found.withColumn("score", F.round(F.col("score") * 1e9).cast("bigint"))
 
