@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logweave.lineage import cut
 from logweave.shipping import ship
 
-__all__ = ["cut", "labels_of", "mix", "remainder", "rows_for", "shingles", "summed", "table", "WordTable"]
+__all__ = ["cut", "labels_of", "mix", "remainder", "rows_for", "shingles", "summed", "table", "text_key", "WordTable"]
 
 #: Distinct words that one Python worker remembers before it starts afresh.
 WORD_CACHE = 600_000
@@ -27,6 +27,11 @@ def rows_for(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(docs[old].alias(new) for new, old in columns.items()))
 
 
+def text_key(column: str = "text"):
+    """A hash of the text, which tells rows of one id (or of none) apart."""
+    return F.xxhash64(F.col(column).cast("binary")).alias("text_key")
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the id written as text, modulo `modulus`; null ids count as remainder 0 of crc32('')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, labels_of, remainder, rows_for, summed, table
+from logweave.llm.common import cut, labels_of, remainder, rows_for, summed, table, text_key
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CLASSES = {
@@ -63,16 +63,17 @@ def statistics(text: bytes | None) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, x)."""
+    """(id, text, further columns) -> (id, further columns, x)."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(t) for t in batch.column("text").to_pylist()]
             flat = pa.array(np.concatenate(rows) if rows else np.empty(0))
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WIDTH), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), x], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), x], [*kept, "x"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x array<double>")
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept), "x array<double>"]))
 
 
 def isotonic(value: np.ndarray, weight: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +158,8 @@ def fit(train: DataFrame, features: int = 160, width: float = 6.0, ridge: float
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held: int = 1, label: str = "quality") -> DataFrame:
-    """(id, held_out, score, predicted) for every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held: int = 1, label: str = "quality", keyed: bool = False) -> DataFrame:
+    """(id, held_out, score, predicted) and, if `keyed`, the text_key, for every row of docs.
 
     Labels are learnt from ids whose crc32 modulo `modulus` is not `held`; all such
     rows count. Empty and null texts are scored by their zeros; a null id is
@@ -166,6 +167,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are scored each. Without labels every score is 0.5, with one class its label.
     """
     plain = rows_for(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
+    plain = plain.withColumn("text_key", text_key())
     rated = cut(measured(plain).withColumn("r", remainder("id", modulus)))
     known = labels_of(labels, label)
     fold = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold")
@@ -175,11 +177,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = model.probability(_matrix(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("r"), pa.array(p)], ["id", "r", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "r", "text_key")), pa.array(p)], ["id", "r", "text_key", "score"])
 
     kind = rated.schema["id"].dataType.simpleString()
-    out = rated.mapInArrow(run, f"id {kind}, r bigint, score double")
-    return out.select(F.col("id").alias(id_col), (F.col("r") == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = rated.mapInArrow(run, f"id {kind}, r bigint, text_key bigint, score double")
+    return out.select(F.col("id").alias(id_col), (F.col("r") == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["text_key"] * keyed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

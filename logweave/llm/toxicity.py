@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, labels_of, remainder, rows_for, table
+from logweave.llm.common import cut, labels_of, remainder, rows_for, table, text_key
 
 _EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -170,15 +170,15 @@ def _logistic(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float
     return float(w[0]), float(w[1])
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, label: str = "toxic", sample: int = 50_000, spans: bool = False, **options) -> DataFrame:
-    """(id, held_out, score, predicted, n_passages) and, on request, the passages, for every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, label: str = "toxic", sample: int = 50_000, spans: bool = False, keyed: bool = False, **options) -> DataFrame:
+    """(id, held_out, score, predicted, n_passages) and, on request, the passages and the text_key, for every row of docs.
 
     Labels are learnt from ids whose crc32 modulo `modulus` is not `held`; token
     counts come from at most about `sample` of these, chosen by hash of the id, and once for each text. Empty and null
     texts have no passage; a null id is scored but never learnt from; rows that
     repeat an id are scored each. Without labels every score is 0.5.
     """
-    plain = rows_for(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary")).withColumn("r", remainder("id", modulus))
+    plain = rows_for(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary")).withColumn("r", remainder("id", modulus)).withColumn("text_key", text_key())
     known = labels_of(labels, label).where(remainder("id", modulus) != held)
     known = cut(known.withColumn("y", F.when(F.col("y") > 0, 1).otherwise(0)))
     cells = 1 << 20
@@ -195,10 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             found = [model.passages(t, words) if words is not None else [] for t in batch.column("text").to_pylist()]
             stat, n = pa.array([statistic(x) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int32())
             cut_ = pa.array([[{"start": a, "end": b, "score": z} for a, b, z in x] if spans else None for x in found], span_type)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("r"), stat, n, cut_], ["id", "r", "stat", "n_passages", "passages"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "r", "text_key")), stat, n, cut_], ["id", "r", "text_key", "stat", "n_passages", "passages"])
 
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-    rated = cut(plain.mapInArrow(run, f"id {kind}, r bigint, stat double, n_passages int, passages array<struct<start:int,end:int,score:double>>"))
+    rated = cut(plain.mapInArrow(run, f"id {kind}, r bigint, text_key bigint, stat double, n_passages int, passages array<struct<start:int,end:int,score:double>>"))
     if model.constant is None:
         cell = F.round(F.col("stat") * 100).cast("int").alias("cell")  # the statistic is a logarithm: some thousand cells at most
         rows = rated.join(known, "id").groupBy(cell).agg(F.count("*").alias("n"), F.sum("y").alias("k")).orderBy("cell").collect()
@@ -207,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     else:
         score = F.lit(model.constant)
     columns = [F.col("id").alias(id_col), (F.col("r") == held).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("n_passages")]
-    return rated.select(*columns, *["passages"] * spans)
+    return rated.select(*columns, *["passages"] * spans, *["text_key"] * keyed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
