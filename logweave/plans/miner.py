@@ -1,9 +1,11 @@
 """Mining: raw lines to (line -> event, template), as rounds of set-oriented steps.
 
 Each round works on the distinct contents that no template matches yet. They
-are grouped by a masked shape; one representative of each goes through initial
-template, wildcard merging, grounding, reflection and merging with the known
-templates; what is matched afterwards leaves the frontier.
+are grouped by a masked shape; representatives of each, one in the first round and
+up to twice as many in each later one, go through initial template, wildcard merging,
+grounding and reflection, and the classes of their wildcards are united with those
+of the known templates. What is matched afterwards or has been a representative
+leaves the frontier, so that every content is matched or tried.
 """
 
 from __future__ import annotations
@@ -56,14 +58,21 @@ def _templates_of(logs: DataFrame, answers: Answers, rules: adjudicate.Adjudicat
     return done.withColumn("g", align.collapsed("template", "log")).select("log", F.col("g.template").alias("template"), F.col("g.contents").alias("held"))
 
 
-def _with_patterns(found: DataFrame) -> DataFrame:
-    """(log, template, held) -> (template, pattern), the classes of each wildcard united over the template's logs."""
-    classes = F.transform("held", lambda x: char_class(x))
-    spread = found.select("template", F.posexplode_outer(classes).alias("k", "cls"))
-    united = spread.groupBy("template", "k").agg(
-        F.max(F.contains("cls", F.lit("0-9"))).alias("d"), F.max(F.contains("cls", F.lit("a-zA-Z"))).alias("l"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split(F.regexp_replace("cls", "0-9|a-zA-Z", ""), ""), lambda c: c != ""))))).alias("rest"),
-    )
+def _classes(found: DataFrame) -> DataFrame:
+    """(log, template, held) -> (template, k, d, l, rest): whether a digit or letter was seen in wildcard k, and the other characters; k is null without wildcards."""
+    spread = found.select("template", F.posexplode_outer(F.transform("held", lambda x: char_class(x))).alias("k", "cls"))
+    rest = F.filter(F.split(F.regexp_replace("cls", "0-9|a-zA-Z", ""), ""), lambda c: c != "")
+    return _united(spread.select("template", "k", F.contains("cls", F.lit("0-9")).alias("d"), F.contains("cls", F.lit("a-zA-Z")).alias("l"), rest.alias("rest")))
+
+
+def _united(classes: DataFrame) -> DataFrame:
+    """One row a wildcard of each template."""
+    rest = F.array_sort(F.array_distinct(F.flatten(F.collect_set("rest"))))
+    return classes.groupBy("template", "k").agg(F.max("d").alias("d"), F.max("l").alias("l"), rest.alias("rest"))
+
+
+def _with_patterns(united: DataFrame) -> DataFrame:
+    """(template, k, d, l, rest) -> (template, pattern)."""
     cls = F.concat(F.when(F.col("d"), "0-9").otherwise(""), F.when(F.col("l"), "a-zA-Z").otherwise(""), F.array_join("rest", ""))
     ordered = united.select("template", F.struct("k", F.coalesce(cls, F.lit("")).alias("c")).alias("kc"), "k").groupBy("template").agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.col("kc")))).alias("kcs"))
 
@@ -74,29 +83,29 @@ def _with_patterns(found: DataFrame) -> DataFrame:
     return ordered.select("template", compiled("template", "kcs").alias("pattern"))
 
 
-def mine(lines: DataFrame, answers: Answers | None = None, rules: adjudicate.Adjudicator | None = None, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def mine(lines: DataFrame, answers: Answers | None = None, rules: adjudicate.Adjudicator | None = None, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """lines(LineId, Content) -> (assigned(LineId, EventId, EventTemplate), templates(EventId, EventTemplate, Occurrences)).
 
-    The result doesn't depend on the order of lines. Lines that no template matches after all rounds are events of their own text.
+    The result doesn't depend on the order of lines. Lines that no template matches after all rounds are events of their own text;
+    rounds go on until every content is matched or has been tried, or, if `rounds` is given, so many at most.
     """
     spark, answers, rules = lines.sparkSession, answers or Answers(), rules or adjudicate.Rules()
     ship(spark)
-    known = None
+    known = classes = None
     rows = cut(contents(lines))
-    frontier = cut(rows.groupBy("content").agg(F.min("LineId").alias("first")))
-    everything = frontier
-    for _ in range(rounds):
-        shape = digits_masked(masked("content"))
-        seeds = frontier.groupBy(shape.alias("shape")).agg(F.min_by("content", "first").alias("log")).select("log")
-        fresh = _with_patterns(_templates_of(seeds, answers, rules)).where("template is not null and template <> ''")
-        known = cut((fresh if known is None else known.unionByName(fresh)).dropDuplicates(["template"]))
+    everything = cut(rows.groupBy("content").agg(F.min("LineId").alias("first")))
+    frontier = everything.where("content is not null")
+    turn = 0
+    while known is None or (not frontier.isEmpty() and turn != rounds):
+        shape, lot = digits_masked(masked("content")), F.pmod(F.xxhash64("content"), F.lit(1 << min(turn, 30)))
+        seeds = cut(frontier.groupBy(shape.alias("shape"), lot.alias("lot")).agg(F.min_by("content", "first").alias("log")).select("log"))
+        fresh = _classes(_templates_of(seeds, answers, rules).where("template is not null and template <> ''"))
+        classes = cut(fresh if classes is None else _united(classes.unionByName(fresh)))
+        known = cut(_with_patterns(classes))
         table = known.withColumn("cid", F.xxhash64("template"))
         left = matching.matched(frontier, table).where("cid is null").select("content", "first")
-        left = cut(left)
-        before, after = frontier.count(), left.count()
-        frontier = left
-        if not after or after == before:
-            break
+        frontier = cut(left.join(seeds, left["content"] == seeds["log"], "left_anti"))
+        turn += 1
     table = known.withColumn("cid", F.xxhash64("template"))
     hit = matching.matched(everything, table).join(table.select("cid", "template"), "cid", "left")
     hit = hit.select("content", F.coalesce("template", "content").alias("template"))

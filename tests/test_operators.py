@@ -44,6 +44,15 @@ def test_mining(lines):
     assert assigned.count() == 17
 
 
+def test_mining_unites_classes_over_rounds(spark):
+    """One shape whose lines hold other characters: one template takes them all, in whatever round it was found."""
+    held = ["/a_b", "/c-d", "/e_f", "/g-h", "/i=j", "/k_l-m", "/n~o", "/p=q~r"]
+    lines = spark.createDataFrame([(k, f"open {x}") for k, x in enumerate(held, 1)], "LineId bigint, Content string")
+    _, templates = miner.mine(lines.unionByName(spark.createDataFrame([(20, None), (21, "")], lines.schema)))
+    rows = {r["EventTemplate"]: r["Occurrences"] for r in templates.where("EventTemplate <> ''").collect()}
+    assert rows == {"open <*>": 8}
+
+
 def test_mining_in_order(lines):
     found = sequential.mine_in_order(lines.select(F.lit("x").alias("dataset"), "LineId", F.col("Content").alias("content"))).toPandas()
     assert found.groupby("EventId").size().tolist() == [12, 5]
