@@ -43,14 +43,14 @@ def chat_format(messages: DataFrame, schemas: Schemas, conv: str = "conv_id", tu
     """One row per message, call and result: conv, turn, seq, kind, call_id, name, linked, problems, place, step, json.
 
     conv, place, step, turn, seq sort a conversation so that every result follows
-    its call. linked: a call has a result, a result has a call; of calls or
+    its call. A message that has both content and calls gives a message row before its calls. linked: a call has a result, a result has a call; of calls or
     results that share an identifier the first counts for the other side. Null text
     is an empty plain message; text that isn't valid JSON is plain. A call
     without an identifier is never linked; null conversations don't link. Rows that repeat are
     formatted each. Other columns are ignored, and an empty table gives no rows.
     """
     rows = messages.select(messages[conv].alias("conv"), messages[turn].alias("turn"), messages[role].alias("role"), F.coalesce(messages[text], F.lit("")).alias("text"))
-    v = F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text"))
+    v = F.when(F.rlike("text", F.lit(r"^[ \t\r\n]*\{")), F.try_parse_json("text"))  # the white space of JSON
     rows = rows.withColumn("v", v).withColumn("calls", F.try_variant_get("v", "$.tool_calls", "array<variant>")).withColumn("answers", F.try_variant_get("v", "$.tool_call_id", "string"))
     rows = rows.withColumn("kind", F.when(F.size(F.coalesce("calls", F.array().cast("array<variant>"))) > 0, "call").when(F.col("answers").isNotNull(), "result").otherwise("message"))
 
@@ -75,10 +75,12 @@ def chat_format(messages: DataFrame, schemas: Schemas, conv: str = "conv_id", tu
         F.greatest("turn", "first.turn").alias("place"), F.lit(2).alias("step"),
         F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id")), whole).alias("json"),
     )
-    plain = rows.where("kind = 'message'").select(
-        "conv", "turn", F.lit(0).alias("seq"), "kind", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("linked"),
+    said = F.try_variant_get("v", "$.content", "string")
+    content = F.when(F.col("kind") == "message", F.col("text")).when(F.col("kind") == "call", said)
+    plain = rows.withColumn("content", content).where("content is not null and (kind = 'message' or content <> '')").select(
+        "conv", "turn", F.lit(0).alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("linked"),
         F.array().cast("array<string>").alias("problems"), F.col("turn").alias("place"), F.lit(0).alias("step"),
-        F.to_json(F.struct(F.col("text").alias("content"), "role"), whole).alias("json"),
+        F.to_json(F.struct("content", "role"), whole).alias("json"),
     )
     return plain.unionByName(calls).unionByName(results).withColumnRenamed("conv", conv).withColumnRenamed("turn", turn)
 

@@ -146,6 +146,18 @@ def test_chat(spark):
     assert chat.chat_format(messages.limit(0), {}).count() == 0
 
 
+def test_chat_keeps_content_beside_calls(spark):
+    rows = [
+        (1, 0, "assistant", '\n\t{"content":"look","tool_calls":[{"id":"k","name":"f","arguments":{}}]}'), (1, 1, "tool", '\r\n{"tool_call_id":"k","content":"3"}'),
+        (2, 0, "assistant", '{"content":"","tool_calls":[{"id":"k","name":"f","arguments":{}}]}'), (2, 1, "assistant", '{"content":null,"tool_calls":[{"id":"m","name":"f","arguments":{}}]}'),
+    ]
+    found = chat.chat_format(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), {"f": {}}).collect()
+    got = {(r["conv_id"], r["turn"], r["step"]): r for r in found}
+    assert len(found) == len(got) and set(got) == {(1, 0, 0), (1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 1)}
+    assert got[1, 0, 0]["json"] == '{"content":"look","role":"assistant"}' and got[1, 0, 0]["kind"] == "message"
+    assert got[1, 0, 1]["linked"] and got[1, 1, 2]["linked"] and got[1, 1, 2]["name"] == "f"
+
+
 def test_suffix_tree(spark, docs):
     got = suffix_tree.score(docs).where("doc_id is not null").collect()
     assert len(got) == docs.count() - 1
