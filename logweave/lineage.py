@@ -14,6 +14,8 @@ def _shared_folder(spark: SparkSession) -> str:
     if not getattr(context, "_logweave_folder", None):
         above = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         own = not above  # as in tests on one machine
+        if own and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         above = above or tempfile.mkdtemp(prefix="logweave-checkpoints-")
         folder = f"{above.rstrip('/')}/logweave-{uuid.uuid4().hex}"
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
@@ -30,4 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._logweave_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more; other frames are left as they are."""
+    for df in tables:
+        if path := getattr(df, "_logweave_path", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,10 +7,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.lineage import cut
+from logweave.lineage import cut, forget
 from logweave.shipping import ship
 
-__all__ = ["cut", "labels_of", "mix", "remainder", "rows_for", "shingles", "summed", "table", "text_key", "WordTable"]
+__all__ = ["cut", "forget", "labels_of", "mix", "remainder", "rows_for", "shingles", "summed", "table", "text_key", "WordTable"]
 
 #: Distinct words that one Python worker remembers before it starts afresh.
 WORD_CACHE = 600_000

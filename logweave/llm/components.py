@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut
+from logweave.llm.common import cut, forget
 
 #: Edges that one task may finish: a fixed bound, whatever the input.
 SMALL = 15_000
@@ -63,13 +63,17 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         on = hop.select(F.col("node").alias("at"), F.col("to").alias("then"))
         target = cut(hop.join(on, hop["to"] == on["at"]).select("node", F.col("then").alias("to")))
         steps.append(target)
+        forget(hop)
         moved = live.join(target, live.a == target.node).select(F.col("to").alias("a"), "b")
         moved = moved.join(target, moved.b == target.node).select("a", F.col("to").alias("b")).where("a <> b")
-        live = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        above, live = live, cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        forget(above)
     if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[0].select("node", F.col("to").alias("root"))
     for target in steps[1:]:
         target = target.select(F.col("node").alias("at"), "to")
         found = found.join(target, found.root == target["at"], "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(found)
+    found = cut(found)
+    forget(live, *steps)
+    return found
