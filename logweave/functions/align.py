@@ -20,6 +20,7 @@ _SYMBOL = regex.compile(r"<\*>|<>|<\*|\*>|.", regex.DOTALL)
 _TOKEN = regex.compile(r"<\*>|[\p{L}\p{N}]+|.", regex.DOTALL)
 _RUN = regex.compile(r"[\p{L}\p{N}]*<\*>(?:[\p{L}\p{N}]|<\*>)*")
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
+_SPECIAL = regex.compile(r"<\*|\*>|<>|\u0001")
 _EDGE = "\u0001"  # a sentinel that text doesn't hold
 
 
@@ -68,7 +69,10 @@ def ground(template: str, log: str) -> tuple[str, list[str]]:
 
     Where template and log differ, a wildcard on the template's side takes the log's text; without one
     the log's text becomes constant. A space at either end of a capture moves out of it.
+    A template without wildcards that is its log needs no alignment.
     """
+    if template == log and not _SPECIAL.search(log):
+        return log.strip(), []
     a, b = symbols(f"{_EDGE} {log} {_EDGE}"), symbols(f"{_EDGE} {template} {_EDGE}")
     out, held, i, j = [], [], 0, 0
     for p, q in align(a, b):
@@ -221,10 +225,24 @@ def candidates(template: str, log: str) -> list[tuple[str, str]]:
     return units
 
 
+def _merged_text(one: str, two: str) -> str:
+    return merge(one, two)[0]
+
+
+def _units(template: str, log: str) -> list[dict]:
+    return [{"text": t, "content": c} for t, c in candidates(template, log)]
+
+
+@functools.cache
+def _remembered(function):
+    """The function with a bounded memory that lasts as long as the Python worker, over all batches and tasks."""
+    return functools.lru_cache(100_000)(function)
+
+
 def _pairwise(function, kind: str):
     @F.pandas_udf(kind)
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-        remember = functools.lru_cache(100_000)(function)
+        remember = _remembered(function)
         return pd.Series([None if x is None or y is None else remember(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return apply
@@ -233,12 +251,23 @@ def _pairwise(function, kind: str):
 def _structs(function, names: tuple[str, str], kind: str):
     @F.pandas_udf(kind)
     def apply(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if x is None or y is None else function(x, y) for x, y in zip(a, b, strict=True)]
+        remember = _remembered(function)
+        rows = [(None, None) if x is None or y is None else remember(x, y) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame(rows, columns=list(names), dtype=object)
 
     return apply
 
 
+def split(template, held) -> Column:
+    """struct(template, contents) after split_captures; held: array of strings."""
+
+    @F.pandas_udf("template string, contents array<string>")
+    def apply(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None or y is None else split_captures(x, list(y)) for x, y in zip(a, b, strict=True)], columns=["template", "contents"], dtype=object)
+
+    return apply(template, held)
+
+
 def grounded(template, log) -> Column:
     """struct(template, contents)."""
     return _structs(ground, ("template", "contents"), "template string, contents array<string>")(template, log)
@@ -254,7 +283,7 @@ def covered(one, two) -> Column:
 
 
 def merged(one, two) -> Column:
-    return _pairwise(lambda a, b: merge(a, b)[0], "string")(one, two)
+    return _pairwise(_merged_text, "string")(one, two)
 
 
 def repeated(one, two) -> Column:
@@ -263,4 +292,4 @@ def repeated(one, two) -> Column:
 
 def candidate_units(template, log) -> Column:
     """array of struct(text, content)."""
-    return _pairwise(lambda a, b: [{"text": t, "content": c} for t, c in candidates(a, b)], "array<struct<text:string,content:string>>")(template, log)
+    return _pairwise(_units, "array<struct<text:string,content:string>>")(template, log)

@@ -23,7 +23,7 @@ EQUAL_PAIRS = [
     ("next day:steps<*>mLastReport<*>", "next day:<*>"),
 ]
 
-#: Passes of the rules whose fixpoint a single pattern does not reach.
+#: Passes of the rules whose fixpoint a single pattern does not reach, where an engine can't repeat them.
 UNROLLED = 8
 
 
@@ -45,12 +45,31 @@ def steps() -> list[tuple[str, str]]:
 
 
 def normalised(c) -> Column:
+    """All rules in order, each to its fixpoint; rules that nest are repeated as often as their closing text occurs."""
     out = F.col(c) if isinstance(c, str) else c
+    before = None
     for pattern, replacement in steps():
-        out = F.regexp_replace(out, "(?U)" + pattern, replacement)
+        if pattern == before:
+            continue
+        before = pattern
+        again = _CLOSING.get(pattern)
+        out = _once(out, pattern, replacement) if again is None else _repeated(out, pattern, replacement, again)
     return out
 
 
+def _once(c: Column, pattern: str, replacement: str) -> Column:
+    return F.regexp_replace(c, "(?U)" + pattern, replacement)
+
+
+def _repeated(c: Column, pattern: str, replacement: str, again: str) -> Column:
+    passes = F.length(c) - F.length(F.replace(c, F.lit(again), F.lit("")))
+    return F.aggregate(F.sequence(F.lit(0), passes), c, lambda x, _: _once(x, pattern, replacement))
+
+
+#: What each pass of a rule that nests takes at least one character of, by its pattern.
+_CLOSING = {rf"{parts[0]}<\*>{parts[1]}": parts[1].replace("\\", "") for kind, *parts in RULES if kind == "wrap"} | {parts[0]: "<" for kind, *parts in RULES if kind == "pattern" and "bytes" in parts[0]}
+
+
 def normalised_sql(column: str) -> str:
     """The same chain for an engine with a global flag; for ASCII templates."""
     quote = lambda x: x.replace("'", "''")

@@ -40,6 +40,13 @@ class Rules:
         return F.lit(False)
 
 
+class Unsaid(Rules):
+    """Leaves open what no answer decides."""
+
+    def same_template(self, one: Column, two: Column) -> Column:
+        return F.lit(None).cast("boolean")
+
+
 def template_answers(logs: DataFrame, answers: DataFrame, rules: Adjudicator | None = None) -> DataFrame:
     """logs(log) -> (log, template); answers(key1: log, answer)."""
     found = logs.join(answers.select(F.col("key1").alias("log"), "answer").dropDuplicates(["log"]), "log", "left")

@@ -5,10 +5,11 @@ All are group-bys and joins over pairs of event ids; lines are joined by LineId,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.equivalence import listed, normalised
+from logweave.sources import logs
 
 
 def joined(truth: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -75,3 +76,17 @@ def transposed(rows: DataFrame, datasets: list[str]) -> DataFrame:
     """(dataset, ga, pa, pta, rta) -> one row a metric, one column a data set."""
     long = rows.unpivot("dataset", ["ga", "pa", "pta", "rta"], "metric", "score")
     return long.groupBy("metric").pivot("dataset", datasets).agg(F.first("score"))
+
+
+def evaluate(spark: SparkSession, groundtruth: str, parsed: str) -> DataFrame:
+    """One row of scores of a result file against a truth file, both structured logs."""
+    return scores(logs.read_named(spark, groundtruth, logs.TRUTH), logs.read_named(spark, parsed, logs.TRUTH))
+
+
+def benchmark(spark: SparkSession, files: dict[str, tuple[str, str]]) -> DataFrame:
+    """data set -> (truth file, result file): the score table, one row a metric and one column a data set."""
+    rows = None
+    for name, (groundtruth, parsed) in files.items():
+        one = evaluate(spark, groundtruth, parsed).withColumn("dataset", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return transposed(rows, list(files))

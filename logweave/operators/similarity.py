@@ -47,8 +47,14 @@ def similar_templates(queries: DataFrame, templates: DataFrame, k: int = 1) -> D
     return ranked(scored, "qid", "score", "tid", k)
 
 
+#: Texts of a stated set that every row is held against.
+CHOSEN_MOST = 1024
+
+
 def nearest_by_distance(queries: DataFrame, chosen: DataFrame) -> DataFrame:
-    """queries(qid, text) against a stated small set chosen(cid, text): (qid, cid, distance) of the nearest, ties to the smaller cid."""
+    """queries(qid, text) against a stated set chosen(cid, text) of at most CHOSEN_MOST rows: (qid, cid, distance) of the nearest, ties to the smaller cid."""
+    if chosen.limit(CHOSEN_MOST + 1).count() > CHOSEN_MOST:
+        raise ValueError(f"more than {CHOSEN_MOST} texts to compare with")
     pairs = queries.select("qid", F.col("text").alias("x")).join(F.broadcast(chosen.select("cid", F.col("text").alias("y"))))
     best = F.min(F.struct(F.levenshtein("x", "y").alias("distance"), "cid"))
     return pairs.groupBy("qid").agg(best.alias("best")).select("qid", "best.cid", "best.distance")
@@ -75,3 +81,20 @@ def diverse_sample(rows: DataFrame, text_col: str, num: int = 32, probes: int =
         if best:
             taken.append(best[0]["text"])
     return taken
+
+
+def last_by_content(rows: DataFrame) -> DataFrame:
+    """rows(at, content, template) -> (content, template): the template of a content's last row."""
+    return rows.where("content is not null and template is not null").groupBy("content").agg(F.max_by("template", F.struct("at", "template")).alias("template"))
+
+
+def looked_up(logs: DataFrame, rows: DataFrame) -> DataFrame:
+    """logs(..., content) plus the template of the last of rows(at, content, template) with that content, or null."""
+    return logs.join(last_by_content(rows), "content", "left")
+
+
+def candidate_set(pool: DataFrame, num: int = 32) -> DataFrame:
+    """pool(content, template) -> (cid, content, template): `num` examples whose contents are far from each other, numbered in the order of choice."""
+    taken = diverse_sample(pool, "content", num)
+    order = pool.sparkSession.createDataFrame(list(enumerate(taken)), "cid int, content string")
+    return order.join(pool, "content").groupBy("cid", "content").agg(F.min("template").alias("template"))

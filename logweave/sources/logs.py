@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from logweave.lineage import cut
 from logweave.sources.formats import CATALOGUE, LineFormat, for_dataset
 
 TRUTH = "LineId BIGINT, Content STRING, EventId STRING, EventTemplate STRING"
@@ -29,10 +31,13 @@ def rejected_lines(lines: DataFrame, fmt: LineFormat, value: str = "value") -> D
 
 
 def with_line_ids(rows: DataFrame) -> DataFrame:
-    """LineId 1..n in the order of partitions and rows: one count a partition goes through the driver."""
-    schema = T.StructType([T.StructField("LineId", T.LongType(), False), *rows.schema.fields])
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0]))
-    return rows.sparkSession.createDataFrame(numbered, schema)
+    """LineId 1..n in the order of partitions and rows. The rows are written once with their places, so that
+    counts and rows are of one run; one count a partition is joined back."""
+    placed = cut(rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))  # one row a partition
+    number = F.col("before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(before), "_part").select(number.alias("LineId"), *rows.columns)
 
 
 def read_logs(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
@@ -45,6 +50,13 @@ def read_truth(spark: SparkSession, path: str, schema: str = TRUTH) -> DataFrame
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
+def read_named(spark: SparkSession, path: str, schema: str = TRUTH) -> DataFrame:
+    """The columns of `schema`, by name, of a structured log or table, whatever further columns it has; contents may hold line breaks in quotes."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    kinds = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    return rows.select(*(F.col(f"`{name}`").cast(kind.lower()).alias(name) for name, kind in kinds))
+
+
 def read_answers(spark: SparkSession, path: str, depth: int) -> DataFrame:
     """An answer cache, a JSON object of strings nested `depth` levels, as rows (key1, ..., answer). A missing file has no rows."""
     keys = [f"key{k}" for k in range(1, depth + 1)]
@@ -62,7 +74,20 @@ def read_answers(spark: SparkSession, path: str, depth: int) -> DataFrame:
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
-    answers.write.mode("overwrite").json(path)
+    """The JSON object that read_answers reads, of rows (key1, ..., answer); the last of several answers by text wins.
+    A cache is one object in one file, and holds what was asked, which is little beside the log."""
+    keys = [c for c in answers.columns if c != "answer"]
+    nested: dict = {}
+    for row in answers.where("answer is not null").orderBy(*keys, "answer").toLocalIterator():
+        at = nested
+        for k in keys[:-1]:
+            at = at.setdefault(row[k], {})
+        at[row[keys[-1]]] = row["answer"]
+    spark = answers.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(nested, ensure_ascii=False, indent=1).encode()))
+    out.close()
 
 
 def write_structured(rows: DataFrame, path: str) -> None:
