@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import align, equivalence, text
+from logweave.lineage import cut
 from logweave.operators import adjudicate, clusters, matching, metrics, similarity
 from logweave.plans import miner, sequential
 from logweave.shipping import ship
@@ -138,16 +139,21 @@ def predicates(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *flags)
 
 
-@query(r"SELECT page_id, 'ports <*> end ' || page_id AS merged FROM pages")
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 4 = 0 THEN 'ports a<*> end ' ELSE 'ports <*> end ' END WHEN 1 THEN 'ports a<*> b<*> a<*> end ' ELSE 'ports x x end ' END || page_id AS merged FROM pages""")
 def repeat_collapse(spark, sf_dir: str) -> DataFrame:
-    made = F.concat(F.lit("ports a<*>  a<*> a<*>\tend "), F.col("page_id"))
-    return table(spark, sf_dir, "pages").select("page_id", text.repeats_merged(made).alias("merged"))
+    """Repeats of one token with a wildcard, once to four times; of two in turn; and of a word."""
+    again = F.expr("repeat('a<*>  ', cast(page_id % 4 + 1 as int))")
+    made = F.when(F.col("page_id") % 3 == 0, again).when(F.col("page_id") % 3 == 1, "a<*> b<*>\ta<*> ").otherwise("x x ")
+    return table(spark, sf_dir, "pages").select("page_id", text.repeats_merged(F.concat(F.lit("ports "), made, F.lit("end "), "page_id")).alias("merged"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'first' END AS template FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || ' done' WHEN 2 THEN 'first' END AS template FROM pages")
 def answer_extract(spark, sf_dir: str) -> DataFrame:
-    answer = F.concat(F.lit("Template: <START>first<END> then <START>"), F.col("url"), F.when(F.col("page_id") % 2 == 0, "<END> done").otherwise(""))
-    return table(spark, sf_dir, "pages").select("page_id", text.answer_text(answer).alias("template"))
+    """Answers with two pairs of tags, with an end that is missing, with an empty last pair, and without tags."""
+    kind, url = F.col("page_id") % 4, F.col("url")
+    first = F.lit("Template: <START>first<END> then ")
+    answer = F.when(kind == 0, F.concat(first, F.lit("<START> "), url, F.lit("\n<END> done"))).when(kind == 1, F.concat(F.lit("<START>"), url, F.lit(" done"))).when(kind == 2, F.concat(first, F.lit("<START><END>")))
+    return table(spark, sf_dir, "pages").select("page_id", text.answer_text(answer.otherwise(url)).alias("template"))
 
 
 _LETTERS = r"list_filter(regexp_extract_all({c}, '[\p{{L}}\p{{N}}]+'), lambda x: regexp_matches(x, '\p{{L}}'))"
@@ -176,23 +182,26 @@ def knn_examples_topk(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round(F.col("score") * 1e9).cast("bigint"))
 
 
-@query(f"""WITH w AS (SELECT item_id AS id, token, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format(c='text')}) AS token FROM benchmark) GROUP BY ALL),
+@query(f"""WITH u AS (SELECT regexp_replace(url, '[0-9]+', '<*>', 'g') AS t, min(page_id) AS id FROM pages GROUP BY 1),
+w AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({_WORDS.format(c="regexp_replace(t, '[/.-]', ' ', 'g')")}) AS token FROM u) GROUP BY ALL),
 n AS (SELECT id, sum(tf) AS n FROM w GROUP BY id),
 o AS (SELECT a.id AS qid, b.id AS tid, sum(least(a.tf, b.tf)) AS overlap FROM w a JOIN w b ON a.token = b.token AND a.id <> b.id GROUP BY ALL),
 s AS (SELECT qid, tid, overlap, overlap / (x.n + y.n) AS score FROM o JOIN n x ON x.id = qid JOIN n y ON y.id = tid)
 SELECT qid, tid, CAST(overlap AS BIGINT) AS overlap FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) = 1""")
 def template_similarity_top1(spark, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return similarity.similar_templates(items.select(F.col("item_id").alias("qid"), "text"), items.select(F.col("item_id").alias("tid"), "text")).select("qid", "tid", "overlap")
+    """The distinct url templates of all pages, by the words between their delimiters, each against all others."""
+    found = url_shapes(spark, sf_dir).groupBy("shape").agg(F.min("page_id").alias("id")).select("id", F.regexp_replace("shape", "[/.-]", " ").alias("text"))
+    return similarity.similar_templates(found.withColumnRenamed("id", "qid"), found.withColumnRenamed("id", "tid")).select("qid", "tid", "overlap")
 
 
-@query("""WITH c AS (SELECT page_id AS cid, url AS y FROM pages WHERE page_id < 32),
+@query("""WITH c AS (SELECT min(page_id) AS cid, arg_min(url, page_id) AS y FROM pages GROUP BY split_part(url, '/', 3)),
 d AS (SELECT page_id AS qid, cid, levenshtein(url, y) AS distance FROM pages, c)
 SELECT qid, cid, CAST(distance AS INTEGER) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, cid) = 1""")
 def levenshtein_nearest(spark, sf_dir: str) -> DataFrame:
-    """Every url against a stated set of 32 chosen ones (page_id below 32), as sampling compares them."""
+    """Every url against the first of each host, a stated set as sampling compares with."""
     pages = table(spark, sf_dir, "pages")
-    return similarity.nearest_by_distance(pages.select(F.col("page_id").alias("qid"), F.col("url").alias("text")), pages.where("page_id < 32").select(F.col("page_id").alias("cid"), F.col("url").alias("text")))
+    chosen = pages.groupBy(F.split_part("url", F.lit("/"), F.lit(3))).agg(F.min("page_id").alias("cid"), F.min_by("url", "page_id").alias("text"))
+    return similarity.nearest_by_distance(pages.select(F.col("page_id").alias("qid"), F.col("url").alias("text")), chosen.select("cid", "text"))
 
 
 @query()
@@ -262,19 +271,22 @@ def normalize_equivalence(spark, sf_dir: str) -> DataFrame:
     return url_shapes(spark, sf_dir).select("page_id", equivalence.normalised(F.concat(F.expr(_VARIANTS), F.col("shape"))).alias("normalised"))
 
 
-@query(f"WITH {_RENDERED} SELECT LineId, CASE WHEN regexp_matches(Content, '^user [0-9]+ [a-z]+ value=') THEN event_type END AS template FROM l")
+@query(f"""WITH {_RENDERED} SELECT LineId, CASE WHEN event_type = 'error' THEN NULL WHEN user_id % 10 = 3 THEN event_type || ' of ' || user_id ELSE event_type END AS template FROM l""")
 def template_match(spark, sf_dir: str) -> DataFrame:
-    lines = parsed(spark, sf_dir)
-    types = lines.select("event_type").distinct()
+    """Every line against a template for each event type but errors, and one for each type and some users, whose constants go before wildcards."""
+    lines = parsed(spark, sf_dir).where("user_id is not null").withColumn("who", F.col("user_id").cast("string"))
+    types = lines.where("event_type <> 'error'").select("event_type", F.lit("<*>").alias("who")).union(lines.where("event_type <> 'error' and user_id % 10 = 3").select("event_type", "who")).distinct()
+
     @F.pandas_udf("string")
     def compiled(t):
-        return t.map(lambda x: matching.pattern(x, ["0-9", "0-9", "".join(map(chr, range(32, 127))) + "0-9a-zA-Z"]))
+        return t.map(lambda x: matching.pattern(x, ["0-9"] * (x.count("<*>") - 1) + ["".join(map(chr, range(32, 127))) + "0-9a-zA-Z"]))
 
     ship(spark)
-    templates = types.select(F.xxhash64("event_type").alias("cid"), "event_type", F.concat(F.lit("user <*> "), "event_type", F.lit(" value=<*> props=<*>")).alias("template"))
-    templates = templates.withColumn("pattern", compiled("template")).persist()
+    shape = F.concat(F.lit("user "), "who", F.lit(" "), "event_type", F.lit(" value=<*> props=<*>"))
+    name = F.when(F.col("who") == "<*>", F.col("event_type")).otherwise(F.concat("event_type", F.lit(" of "), "who"))
+    templates = cut(types.select(F.xxhash64("event_type", "who").alias("cid"), name.alias("name"), shape.alias("template")).withColumn("pattern", compiled("template")))
     found = matching.matched(lines.select("LineId", F.col("Content").alias("content")), templates)
-    return found.join(templates.select("cid", F.col("event_type").alias("name")), "cid", "left").select("LineId", F.col("name").alias("template"))
+    return found.join(templates.select("cid", "name"), "cid", "left").select("LineId", F.col("name").alias("template"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true WHEN page_id % 3 = 1 THEN false ELSE false END AS same FROM pages""")
@@ -305,11 +317,14 @@ def leave_one_out_pool(spark, sf_dir: str) -> DataFrame:
     return out.select("source", (F.col("total") - F.col("n")).alias("leave_one_out"), (F.col("total") - F.col("in_group")).alias("other_group"))
 
 
-@query(f"""WITH t AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS k FROM pages), a AS (SELECT lang, source, arg_max(doc_id, doc_id) AS last FROM documents GROUP BY ALL)
-SELECT lang, source, last AS template FROM a""")
+@query(f"""WITH {_RENDERED}, m AS (SELECT LineId, Content, event_type, regexp_replace(Content, '[0-9]+', '<*>', 'g') AS key FROM l),
+a AS (SELECT key, arg_max(Content, LineId) AS template FROM m WHERE event_type <> 'view' GROUP BY key)
+SELECT LineId, template FROM m LEFT JOIN a USING (key)""")
 def content_lookup_last(spark, sf_dir: str) -> DataFrame:
-    """The last row of each key wins, as in lookups of templates by content."""
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.max_by("doc_id", "doc_id").alias("template"))
+    """Each line's template by its content, from the lines of all types but one; of several the last wins, and a content without any has none."""
+    lines = parsed(spark, sf_dir).select("LineId", "event_type", text.digits_masked("Content").alias("content"), F.col("Content").alias("template"))
+    known = lines.where("event_type <> 'view'").select(F.col("LineId").alias("at"), "content", "template")
+    return similarity.looked_up(lines.select("LineId", "content"), known).select("LineId", "template")
 
 
 @query()
@@ -335,12 +350,26 @@ def candidate_units(spark, sf_dir: str) -> DataFrame:
     return units.select("log", "pos", "u.text", "u.content")
 
 
-@query(r"SELECT DISTINCT regexp_replace(url, '[0-9]+', '<*>', 'g') AS one, true AS covers FROM pages WHERE regexp_matches(url, '[0-9]')")
+@query(f"""WITH {_RENDERED} SELECT LineId, CAST(1 + CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS INTEGER) AS units FROM l""")
+def candidate_counts(spark, sf_dir: str) -> DataFrame:
+    """How many units of a line are to be judged: a number left as a constant, an address of clicks, an address and a path of views."""
+    ship(spark)
+    more = F.when(F.col("event_type") == "click", " from 10.0.0.7").when(F.col("event_type") == "view", " from 10.0.0.7 of /a/b").otherwise("")
+    lines = parsed(spark, sf_dir).select("LineId", F.concat(F.lit("user "), "user_id", F.lit(" "), "event_type", more).alias("log"))
+    return lines.select("LineId", F.size(F.filter(align.candidate_units("log", "log"), lambda u: u["content"] != "")).alias("units"))
+
+
+@query(r"""WITH s AS (SELECT page_id, url, regexp_replace(url, '[0-9]+', '<*>', 'g') AS shape, regexp_replace(regexp_replace(url, '[0-9]+', '<*>', 'g'), '://[^/]+/', '://x.y.org/') AS other FROM pages)
+SELECT page_id, true AS own, split_part(shape, '/', 3) = 'x.y.org' AS other FROM s""")
 def template_cover(spark, sf_dir: str) -> DataFrame:
-    """Each url shape against one of its urls: the shape covers it."""
+    """Each url's shape against the url, which it covers, and against the shape of the same path at another host, which it doesn't."""
     ship(spark)
-    pairs = url_shapes(spark, sf_dir).where("shape <> url").groupBy("shape").agg(F.min("url").alias("url"))
-    return pairs.select(F.col("shape").alias("one"), align.covered("shape", "url")["covers"].alias("covers"))
+    rows = url_shapes(spark, sf_dir).withColumn("moved", F.regexp_replace("shape", "://[^/]+/", "://x.y.org/"))
+    pairs = rows.select("shape", F.explode(F.array(F.col("url"), F.col("moved"))).alias("two")).distinct()
+    found = cut(pairs.select("shape", "two", align.covered("shape", "two")["covers"].alias("covers")))
+    own = rows.join(found, (rows["shape"] == found["shape"]) & (rows["url"] == found["two"])).select("page_id", F.col("covers").alias("own"))
+    other = rows.join(found, (rows["shape"] == found["shape"]) & (rows["moved"] == found["two"])).select("page_id", F.col("covers").alias("other"))
+    return own.join(other, "page_id")
 
 
 @query()
