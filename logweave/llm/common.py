@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from logweave.lineage import cut, forget
 from logweave.shipping import ship
 
-__all__ = ["cut", "forget", "labels_of", "mix", "remainder", "rows_for", "shingles", "summed", "table", "text_key", "WordTable"]
+__all__ = ["added", "cut", "forget", "labels_of", "mix", "remainder", "rows_for", "shingles", "table", "text_key", "WordTable"]
 
 #: Distinct words that one Python worker remembers before it starts afresh.
 WORD_CACHE = 600_000
@@ -76,19 +77,24 @@ def shingles(text: bytes | None, width: int, words: WordTable) -> np.ndarray:
     return np.unique(mix(out + np.uint64(span)))
 
 
-def summed(df: DataFrame, column: str = "v"):
-    """The elementwise sum of an array column, as a numpy vector; None without rows.
+def added(df: DataFrame, size: int, lot: int = 16) -> np.ndarray:
+    """The elementwise sum of an array column v of `size` numbers, one row a partition of df or few.
 
-    Elements are added where they are and combined by position, so the driver
-    gets one number a position however many rows there are.
+    Rows are added up by lots of `lot` partitions, those by lots again, until one lot is left for
+    the driver: no task adds more than its lot's rows, however many partitions there are.
     """
-    rows = df.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    if not rows:
-        return None
-    out = np.zeros(max(r["k"] for r in rows) + 1)
-    for r in rows:
-        out[r["k"]] = r["x"]
-    return out
+
+    def total(rows: pa.Table) -> pa.Table:
+        out = np.zeros(size)
+        for chunk in rows.column("v").chunks:
+            out += chunk.flatten().to_numpy().reshape(-1, size).sum(axis=0)
+        return pa.table([rows.column("lot").slice(0, 1), pa.array([out], pa.list_(pa.float64()))], names=["lot", "v"])
+
+    lots, df = df.rdd.getNumPartitions(), df.select(F.spark_partition_id().alias("lot"), "v")
+    while lots > lot:
+        lots = -(-lots // lot)
+        df = df.withColumn("lot", F.floor(F.col("lot") / lot).cast("int")).groupBy("lot").applyInArrow(total, "lot int, v array<double>")
+    return sum((np.array(r["v"]) for r in df.toLocalIterator()), np.zeros(size))
 
 
 def labels_of(labels: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A text's statistics (shares of character classes, word and line shapes,
 repetition) are standardised on the training rows and mapped to
 cos(W x + b), whose inner products approximate a Gaussian kernel. Each partition
-adds up its normal equations; their sum is solved on the driver, whose size
+adds up its normal equations, partitions are added up by lots; their sum is solved on the driver, whose size
 depends on the number of features alone. Two halves of the training rows score
 each other for the isotonic step, which turns scores into probabilities.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, labels_of, remainder, rows_for, summed, table, text_key
+from logweave.llm.common import added, cut, labels_of, remainder, rows_for, table, text_key
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CLASSES = {
@@ -140,8 +140,7 @@ def fit(train: DataFrame, features: int = 160, width: float = 6.0, ridge: float
                 total[k] += part.T @ np.column_stack([part, y[fold == k]])
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
 
-    few = train.coalesce(16)  # the matrices of few partitions; rows pass as a stream
-    both = summed(few.mapInArrow(normal, "v array<double>")).reshape(2, size, size + 1)
+    both = added(train.mapInArrow(normal, "v array<double>"), 2 * size * (size + 1)).reshape(2, size, size + 1)
     solve = lambda m: np.linalg.solve(m[:, :size] + ridge * (1 + m[0, 0]) * np.eye(size), m[:, size])
     model.beta = solve(both.sum(axis=0))
     halves = np.stack([solve(both[1]), solve(both[0])])  # a half is scored by the other
@@ -164,7 +163,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels are learnt from ids whose crc32 modulo `modulus` is not `held`; all such
     rows count. Empty and null texts are scored by their zeros; a null id is
     never a training row of its own label but is scored; rows that repeat an id
-    are scored each. Without labels every score is 0.5, with one class its label.
+    are scored each; very long texts are read whole. Without labels every score is 0.5, with one class its label.
+    An empty table gives no rows; other columns of docs are ignored.
     """
     plain = rows_for(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
     plain = plain.withColumn("text_key", text_key())

@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, rows_for, summed, table
+from logweave.llm.common import added, cut, rows_for, table
 from logweave.llm.components import components
 
 BOX = 8  # leading coordinates of a tile's box
 
 
+def _packed(kind: str) -> str:
+    return {"float": "<f4", "double": "<f8"}[kind]
+
+
 def _unit(batch, dim: int) -> np.ndarray:
     x = batch.column("v").combine_chunks() if isinstance(batch, pa.Table) else batch.column("v")
     x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -84,7 +88,8 @@ def _tiles(classes: DataFrame, dim: int, axes: np.ndarray, size: int) -> DataFra
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array((_unit(batch, dim) @ axes[:, 0])), batch.column("v")], ["cls", "n", "y", "v"])
 
-    placed = cut(classes.mapInArrow(first, "cls bigint, n bigint, y double, v array<float>"))
+    kind = classes.schema["v"].dataType.elementType.simpleString()
+    placed = cut(classes.mapInArrow(first, f"cls bigint, n bigint, y double, v array<{kind}>"))
     parts = max(1, -(-placed.count() // size))
     edges = np.array(placed.approxQuantile("y", [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else np.empty(0)
 
@@ -104,11 +109,11 @@ def _tiles(classes: DataFrame, dim: int, axes: np.ndarray, size: int) -> DataFra
             rows["high"].append(lead.max(axis=0))
             for c in ("cls", "n"):
                 rows[c].append(part.column(c).to_numpy().astype("<i8").tobytes())
-            rows["v"].append(part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+            rows["v"].append(part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(_packed(kind)).tobytes())
         kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    numbered = placed.mapInArrow(number, "tile bigint, cls bigint, n bigint, y double, v array<float>")
+    numbered = placed.mapInArrow(number, f"tile bigint, cls bigint, n bigint, y double, v array<{kind}>")
     return cut(numbered.groupBy("tile").applyInArrow(lay, "tile bigint, low array<double>, high array<double>, cls binary, n binary, v binary"))
 
 
@@ -136,13 +141,13 @@ def _compared(classes: DataFrame, dim: int, threshold: float, size: int) -> Data
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
 
-    spread = summed(classes.mapInArrow(outer, "v array<double>"), "v").reshape(dim, dim)
+    spread = added(classes.mapInArrow(outer, "v array<double>"), dim * dim).reshape(dim, dim)
     axes = np.ascontiguousarray(np.linalg.eigh(spread)[1][:, ::-1])
-    lead = max(1, dim // 4)
+    lead, packed = max(1, dim // 4), _packed(classes.schema["v"].dataType.elementType.simpleString())
 
     def pair(group: pa.Table) -> pa.Table:
         row = {c: group.column(c)[0].as_py() for c in group.column_names}
-        unit = lambda c: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))((lambda x: x / np.abs(x).max(axis=1, keepdims=True))(np.frombuffer(row[c], "<f4").astype(np.float64).reshape(-1, dim)))
+        unit = lambda c: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))((lambda x: x / np.abs(x).max(axis=1, keepdims=True))(np.frombuffer(row[c], packed).astype(np.float64).reshape(-1, dim)))
         same = row["a"] == row["b"]
         ids, weight = ([np.frombuffer(row[f"{c}_{s}"], "<i8") for s in "ab"] for c in ("cls", "n"))
         i, j = linked(unit("v_a"), unit("v_b"), axes, threshold, same, lead)
@@ -166,9 +171,12 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     Vectors that are null, empty, zero, or hold a null or a value that isn't finite have no link;
     nor have vectors of different lengths. Rows that repeat an id are rated each by
-    its own vector; a null id counts as larger than any other. An empty table gives no rows.
+    its own vector; a null id counts as larger than any other. An empty table gives no rows; other columns are ignored.
+    Numbers are kept as they are stored, and compared in double precision.
     """
-    plain = rows_for(rows, id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<float>"))
+    plain = rows_for(rows, id=id_col, v=vector_col)
+    if plain.schema["v"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        plain = plain.withColumn("v", F.col("v").cast("array<double>"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     keyed = plain.withColumn("fit", F.coalesce(~bad, F.lit(False)))
     keyed = keyed.select("id", "fit", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v", F.lit(2)).alias("h2"))
