@@ -9,14 +9,14 @@ less a drift that makes ordinary text score below zero. One linear scan finds ev
 maximal segment of positive score; a segment's score is normalised with the
 Karlin-Altschul parameters of non-toxic text and the text's length. The
 significant segments of a text together give its statistic, which a logistic
-curve turns into a probability.
+curve turns into a probability. K and the curve come from texts scored by the counts of others.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, labels_of, remainder, rows_for, table, text_key
+from logweave.llm.common import cut, forget, labels_of, remainder, rows_for, table, text_key
 
 _EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -39,24 +39,26 @@ def units(word: bytes, classes: int) -> list[int]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), by the linear stack scan.
+    """All maximal scoring segments (start, end, score), in linear time.
 
-    Non-positive tokens between two positive ones are passed over at once.
+    Each open segment knows the nearest earlier one that begins at a smaller total, so that a search
+    passes over a segment once. Non-positive tokens between two positive ones are passed over at once.
     """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
+    open_: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, nearest earlier of smaller total before
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, low, high = i, i + 1, total[i], total[i + 1]
+        j = len(open_) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
+            while j >= 0 and open_[j][2] >= low:
+                j = open_[j][4]
+            if j < 0 or open_[j][3] >= high:
                 break
-            start, low = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((start, end, low, high))
-    return [(s, e, high - low) for s, e, low, high in stack]
+            start, _, low, _, earlier = open_[j]
+            del open_[j:]
+            j = earlier
+        open_.append((start, end, low, high, j))
+    return [(s, e, high - low) for s, e, low, high, _ in open_]
 
 
 class Scores(dict):
@@ -112,12 +114,37 @@ def _karlin(scores: np.ndarray, shares: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def fit(train: DataFrame, classes: int = 1 << 18, strength: float = 1000.0, caution: float = 2.0, drift: float = 0.1, level: float = -2.0) -> Model:
-    """train: (text, y). strength: the prior's weight in tokens."""
+def _model(counts: np.ndarray, strength: float, caution: float, drift: float, level: float) -> Model:
+    """counts: tokens by other or toxic, and class."""
+    size = counts.sum(axis=1)
+    if not size.all():
+        return Model(constant=0.5 if not size.any() else float(size[1] > 0))
+    prior = strength * (counts.sum(axis=0) + 0.01) / (size.sum() + 0.01 * counts.shape[1])
+    odds = lambda k: np.log((counts[k] + prior) / (size[k] + strength - counts[k] - prior))
+    delta, error = odds(1) - odds(0), np.sqrt(1 / (counts[1] + prior) + 1 / (counts[0] + prior))
+    evidence = np.sign(delta) * np.maximum(np.abs(delta) - caution * error, 0)
+    # scores of non-toxic text, in cells: their law gives the rate of the extreme-value law
+    cells, at = np.unique(np.round(evidence - drift, 2), return_inverse=True)
+    share = np.bincount(at, counts[0], len(cells)) + 1e-3
+    share /= share.sum()
+    mean = float((cells * share).sum())
+    if mean >= 0:
+        drift += mean + 0.05
+        cells = cells - mean - 0.05
+    rate = _karlin(cells, share) if cells.max() > 0 else 1.0
+    return Model(evidence=evidence, drift=drift, rate=rate, level=level)
+
+
+def fit(train: DataFrame, classes: int = 1 << 18, strength: float = 1000.0, caution: float = 2.0, drift: float = 0.1, level: float = -2.0, at: float = 3.0) -> Model:
+    """train: (text, y, fold 0 or 1), a bounded sample. strength: the prior's weight in tokens.
+
+    Each half is scored by the counts of the other. K is what the non-toxic texts then show: so many
+    segments a token reach the rate times score `at`, against e^-at. The curve is fitted on the same scores.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, classes), np.int64)
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        total = np.zeros((4, classes), np.int64)
+        seen = [Counter() for _ in range(4)]  # twice the fold plus the label
 
         def flush() -> None:
             for k, words in enumerate(seen):
@@ -127,35 +154,45 @@ def fit(train: DataFrame, classes: int = 1 << 18, strength: float = 1000.0, caut
                 words.clear()
 
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                seen[y].update(text.lower().split() if text else ())
-                if len(seen[y]) > 300_000:
+            for text, y, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "fold")), strict=True):
+                seen[2 * fold + y].update(text.lower().split() if text else ())
+                if len(seen[2 * fold + y]) > 300_000:
                     flush()
         flush()
         unit = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(total[0, unit]), pa.array(total[1, unit])], ["unit", "other", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(unit), *(pa.array(total[k, unit]) for k in range(4))], ["unit", *_COUNTS])
 
-    rows = train.mapInArrow(count, "unit bigint, other bigint, toxic bigint").groupBy("unit").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    train = cut(train)
+    rows = train.mapInArrow(count, "unit bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)).groupBy("unit").agg(*(F.sum(c).alias(c) for c in _COUNTS))
     got = rows.toPandas()  # `classes` rows at most
-    counts = np.zeros((2, classes))
-    counts[0, got["unit"].to_numpy(np.int64)], counts[1, got["unit"].to_numpy(np.int64)] = got["other"], got["toxic"]
-    size = counts.sum(axis=1)
-    if not size.all():
-        return Model(constant=0.5 if not size.any() else float(size[1] > 0))
-    prior = strength * (counts.sum(axis=0) + 0.01) / (size.sum() + 0.01 * classes)
-    odds = lambda k: np.log((counts[k] + prior) / (size[k] + strength - counts[k] - prior))
-    delta, error = odds(1) - odds(0), np.sqrt(1 / (counts[1] + prior) + 1 / (counts[0] + prior))
-    evidence = np.sign(delta) * np.maximum(np.abs(delta) - caution * error, 0)
-    # scores of non-toxic text, in cells: their law gives the extreme-value parameters
-    cells, at = np.unique(np.round(evidence - drift, 2), return_inverse=True)
-    share = np.bincount(at, counts[0], len(cells)) + 1e-3
-    share /= share.sum()
-    mean = float((cells * share).sum())
-    if mean >= 0:
-        drift += mean + 0.05
-        cells = cells - mean - 0.05
-    rate = _karlin(cells, share) if cells.max() > 0 else 1.0
-    return Model(evidence=evidence, drift=drift, rate=rate, level=level)
+    counts = np.zeros((2, 2, classes))
+    counts.reshape(4, classes)[:, got["unit"].to_numpy(np.int64)] = got[_COUNTS].to_numpy(np.float64).T
+    options = (strength, caution, drift, level)
+    model, halves = _model(counts.sum(axis=0), *options), [_model(counts[1 - k], *options) for k in (0, 1)]
+    if model.constant is not None or any(m.constant is not None for m in halves):
+        return model
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [Scores(m.evidence, m.drift) for m in halves]
+        for batch in batches:
+            out = []
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                n = len(text.split()) if text else 0
+                z = [x for *_, x in replace(halves[fold], level=-at - np.log(n + 1)).passages(text, words[fold])]
+                out.append((n, sum(x + np.log(n) >= at for x in z), [x for x in z if x >= level - 10]))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.float64()))))], ["y", "n", "over", "z"])
+
+    rated = train.mapInArrow(score, "y int, n bigint, over bigint, z array<double>").toPandas()  # the sample, a few numbers a text
+    other = rated[rated["y"] == 0]
+    model.size = float((other["over"].sum() + 0.5) / max(other["n"].sum(), 1) * np.exp(at))
+    stat = np.array([statistic([(0, 0, x - np.log(model.size)) for x in z if x - np.log(model.size) >= level]) for z in rated["z"]])
+    cells, where = np.unique(np.round(stat, 2), return_inverse=True)
+    model.curve = _logistic(cells, np.bincount(where).astype(float), np.bincount(where, rated["y"].to_numpy(float)))
+    forget(train)
+    return model
+
+
+_COUNTS = ["other0", "toxic0", "other1", "toxic1"]
 
 
 def _logistic(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float]:
@@ -174,9 +211,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted, n_passages) and, on request, the passages and the text_key, for every row of docs.
 
     Labels are learnt from ids whose crc32 modulo `modulus` is not `held`; token
-    counts come from at most about `sample` of these, chosen by hash of the id, and once for each text. Empty and null
-    texts have no passage; a null id is scored but never learnt from; rows that
-    repeat an id are scored each. Without labels every score is 0.5.
+    counts, K and the curve come from at most about `sample` of these, chosen by hash of the id, and once for each text. Empty and null
+    texts have no passage; very long ones are scanned whole, in linear time; a null id is scored but never learnt from; rows that
+    repeat an id are scored each. Without labels every score is 0.5. An empty table gives no rows; other columns of docs are ignored.
     """
     plain = rows_for(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary")).withColumn("r", remainder("id", modulus)).withColumn("text_key", text_key())
     known = labels_of(labels, label).where(remainder("id", modulus) != held)
@@ -186,7 +223,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(cells)) < share)
     train = plain.join(F.broadcast(chosen), "id")  # ids and labels of `sample` rows: under a megabyte
     once = train.groupBy(F.xxhash64("text").alias("h")).agg(F.min("id").alias("id"), F.max("y").alias("y"))  # copies of a text count once
-    model = fit(plain.join(F.broadcast(cut(once.select("id", "y"))), "id").select("text", "y"), **options)
+    fold = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)).cast("int").alias("fold")
+    model = fit(plain.join(F.broadcast(cut(once.select("id", "y"))), "id").select("text", "y", fold), **options)
     kind = plain.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +238,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     rated = cut(plain.mapInArrow(run, f"id {kind}, r bigint, text_key bigint, stat double, n_passages int, passages array<struct<start:int,end:int,score:double>>"))
     if model.constant is None:
-        cell = F.round(F.col("stat") * 100).cast("int").alias("cell")  # the statistic is a logarithm: some thousand cells at most
-        rows = rated.join(known, "id").groupBy(cell).agg(F.count("*").alias("n"), F.sum("y").alias("k")).orderBy("cell").collect()
-        model.curve = _logistic(np.array([r["cell"] / 100 for r in rows]), np.array([float(r["n"]) for r in rows]), np.array([float(r["k"]) for r in rows]))
         score = 1 / (1 + F.exp(-(F.lit(model.curve[0]) + F.lit(model.curve[1]) * F.col("stat"))))
     else:
         score = F.lit(model.constant)
