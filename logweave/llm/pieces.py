@@ -16,6 +16,7 @@ once and remembered.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -65,6 +66,8 @@ class Vocabulary:
     def merged(self, word: str) -> list[str]:
         """The merge result: the adjacent pair of the best joint piece is joined, the leftmost of equals, until none is a piece."""
         parts = list(word)
+        if len(parts) > 48:
+            return self._merged_long(parts)
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -76,6 +79,32 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merged_long(self, parts: list[str]) -> list[str]:
+        """The same by a queue of pairs, for runs of any length: a pair's entry is void once either side has changed."""
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue: list[tuple[float, int, str, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                s = self.scores.get(parts[k] + parts[after[k]])
+                if s is not None:
+                    heapq.heappush(queue, (-s, k, parts[k], parts[after[k]]))
+
+        for k in range(n - 1):
+            offer(k)
+        while queue:
+            _, k, one, two = heapq.heappop(queue)
+            j = after[k]
+            if parts[k] != one or j >= n or parts[j] != two:
+                continue
+            parts[k], parts[j], after[k] = one + two, "", after[j]
+            if after[j] < n:
+                before[after[j]] = k
+            offer(before[k])
+            offer(k)
+        return [p for p in parts if p]
+
     def follows(self, a: str, b: str) -> bool:
         known = self.follow.get((a, b))
         if known is None:
@@ -207,7 +236,10 @@ def _ids_for(model: str) -> PieceIds:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) for every row; a null or empty text has no ids. Other columns are left out; repeated rows are encoded each."""
+    """(id, ids) for every row; a null or empty text has no ids. Other columns are left out; repeated rows are encoded each.
+
+    Very long texts and runs of spaces take time in proportion, but for a logarithm. An empty table gives no rows.
+    """
     rows = rows_for(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +252,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 
 def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) for every row of ids; null ids give an empty text."""
+    """(id, text) for every row of ids; null ids give an empty text, an empty table no rows.
+
+    Decoding gives the encoded text back, but for the mark character itself, which comes back as a space,
+    and for bytes that were no UTF-8 or characters that the vocabulary lacks where it has no byte pieces.
+    """
     rows = rows_for(rows, id=id_col, ids=ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
