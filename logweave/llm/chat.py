@@ -43,7 +43,8 @@ def chat_format(messages: DataFrame, schemas: Schemas, conv: str = "conv_id", tu
     """One row per message, call and result: conv, turn, seq, kind, call_id, name, linked, problems, place, step, json.
 
     conv, place, step, turn, seq sort a conversation so that every result follows
-    its call. A message that has both content and calls gives a message row before its calls. linked: a call has a result, a result has a call; of calls or
+    its call: a message or call stands at its turn, a result at its own or its call's, whichever is later. A call that
+    uses an earlier result follows it if its turn does, as each link of a chain then stands at or after the turn of the one before. A message that has both content and calls gives a message row before its calls. linked: a call has a result, a result has a call; of calls or
     results that share an identifier the first counts for the other side. Null text
     is an empty plain message; text that isn't valid JSON is plain. A call
     without an identifier is never linked; null conversations don't link. Rows that repeat are
@@ -64,12 +65,12 @@ def chat_format(messages: DataFrame, schemas: Schemas, conv: str = "conv_id", tu
     by_call = results.groupBy(F.col("conv").alias("c"), F.col("call_id").alias("i")).agg(F.min("turn").alias("result_turn"))
     by_result = calls.groupBy(F.col("conv").alias("c"), F.col("call_id").alias("i")).agg(F.min(F.struct("turn", "name")).alias("first"))
     same = (F.col("conv") == F.col("c")) & (F.col("call_id") == F.col("i"))
-    calls = calls.join(by_call, same, "left").select(
+    calls = calls.join(by_call.hint("shuffle_hash"), same, "left").select(
         "conv", "turn", "seq", F.lit("call").alias("kind"), "call_id", "name", F.col("i").isNotNull().alias("linked"),
         _problems(F.col("name"), F.col("args"), schemas).alias("problems"), F.col("turn").alias("place"), F.lit(1).alias("step"),
         F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), "name"), whole).alias("json"),
     )
-    results = results.join(by_result, same, "left").select(
+    results = results.join(by_result.hint("shuffle_hash"), same, "left").select(
         "conv", "turn", F.lit(0).alias("seq"), F.lit("result").alias("kind"), "call_id", F.col("first.name").alias("name"), F.col("i").isNotNull().alias("linked"),
         F.when(F.col("i").isNull(), F.array(F.lit("unknown call"))).otherwise(F.array().cast("array<string>")).alias("problems"),
         F.greatest("turn", "first.turn").alias("place"), F.lit(2).alias("step"),
