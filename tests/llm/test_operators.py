@@ -251,3 +251,170 @@ def test_classifiers(spark, module, label):
 def test_segments_are_the_maximal_ones():
     s = np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5], float)
     assert [(a, b) for a, b, _ in toxicity.segments(s)] == [(0, 1), (2, 3), (4, 11)]
+
+
+def test_minhash_in_crowds(spark):
+    """Crowds that share passages without being links, against all pairs; every turn's rules are used."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    base = [[word() for _ in range(60)] for _ in range(3)]
+    texts = []
+    for k in range(150):
+        words = list(base[k % 3])
+        for at in rng.integers(0, 60, rng.integers(0, 5)):
+            words[at] = word()
+        texts.append(words[: rng.integers(40, 61)] if k % 4 == 0 else words)
+    texts += [base[0] + [word() for _ in range(k)] for k in range(0, 30, 2)] + [base[0] + base[1], base[0] + base[1] + [word()]]
+    texts = [" ".join(x) for x in texts]
+    sets = [word_set(t, 4) for t in texts]
+    low = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if low[i] != low[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for few in (128, 4):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows, width=4, few=few).collect()}
+        assert [got[k] for k in range(len(texts))] == low
+
+
+def test_suffix_tree_on_a_tiny_corpus(spark):
+    """Scores against the model written out token by token."""
+    lines = ["a b a b a c", "a b a b", "red rare1 rare2 blue", "red rare1 rare2 blue", "b a", "", None] + ["the dog ran"] * 9 + ["the cat ran"] * 3
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in suffix_tree.score(docs, kinds=8, often=4, share=10).collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    copies = [k for k, t in enumerate(lines) if t == "red rare1 rare2 blue" and not held(k)]
+    assert all(got[k]["score"] > got[k]["base_score"] for k in copies)
+    again = {r["doc_id"]: r for r in suffix_tree.score(docs.repartition(7), kinds=8, often=4, share=10, part_size=3).collect()}
+    for k in got:  # however texts and words are dealt out
+        assert abs(got[k]["score"] - again[k]["score"]) < 1e-9 and got[k]["n_known"] == again[k]["n_known"]
+    assert suffix_tree.score(docs.limit(0)).count() == 0
+
+
+def test_kind_states_are_distributions():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(2.0, (5, 5, 5)).astype(np.float32)
+    counts[2] = 0
+    spelt = np.array([3.0, 0, 1, 2, 5])
+    states = suffix_tree.kind_states(counts, spelt, divergence=1.0)
+    root = counts.sum(axis=(0, 1)) + spelt
+    root = root / root.sum()
+    assert np.allclose((10.0**states * root).sum(axis=-1), 1, atol=1e-5)
+    assert np.allclose(states[2], states[2][:, :]) and np.isfinite(states).all()
+
+
+def test_part_sums_by_hand():
+    """One infrequent word that is always followed by one other: a state that predicts it."""
+    record = lambda key, nxt, row, held=0: (key, nxt, row, held, 0)
+    rows = np.array([record(7, -5, 0), record(7, -5, 1), record(9, suffix_tree.NO_NEXT, 1), record(7, -6, 2, 1)], suffix_tree._RECORD)
+    known = {"key": np.array([7, 9]), "known": np.array([1, 0]), "base": np.array([-3.0, -4.0]), "log": np.array([-2.0, -5.0])}
+    (out,) = suffix_tree._part_sums([rows.tobytes()], known, np.zeros(1), coldest=-4.0, divergence=3.0)
+    sums = np.frombuffer(out, suffix_tree._SUMS)
+    seen = np.log10((2 - 0.75 + 0.75 * 1e-4) / 2) + 4
+    unseen = np.log10(0.75 / 2)
+    assert sums["row"].tolist() == [0, 1, 2] and sums["known"].tolist() == [1, 1, 1]
+    assert np.allclose(sums["base"], [-3, -7, -3]) and np.allclose(sums["log"], [-2 + seen, -7 + seen, -2 + unseen])
+
+
+def test_segments_against_all_segments():
+    """Ruzzo and Tompa's definition: no prefix or suffix of a maximal segment falls to or below zero, and none can grow."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        s = rng.normal(-0.2, 1, rng.integers(1, 30)).round(2)
+        t = np.r_[0.0, np.cumsum(s)]
+        inner = {(a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1) if all(t[a] < t[k] for k in range(a + 1, b + 1)) and all(t[k] < t[b] for k in range(a, b))}
+        largest = {(a, b) for a, b in inner if not any((c, d) != (a, b) and c <= a and b <= d for c, d in inner)}
+        assert {(a, b) for a, b, _ in toxicity.segments(s)} == largest
+
+
+def test_segments_take_linear_time():
+    falling = np.tile([1.0, -1.5], 200_000)
+    assert len(toxicity.segments(falling)) == 200_000
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_tables(spark, module, label):
+    docs, labels = labelled(spark, 300)
+    odd = [(None, None), (None, ""), (7, "x " * 200_000), (7, "same"), (7, "same"), (-1, "é\U0001f600 " * 50)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit("clash") for c in ("id", "y", "r", "stat", "x", "fold", "score", "text_key")})
+    got = module.classify(rows, labels).toPandas()
+    assert len(got) == rows.count() and got.score.between(0, 1).all()
+    assert got[got.doc_id == 7].score.nunique() <= 3 and got.held_out.notna().all()
+    assert module.classify(rows.limit(0), labels).count() == 0
+
+
+def test_sums_by_lots(spark):
+    from logweave.llm.common import added
+
+    rows = spark.range(0, 200, 1, 50).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    parts = rows.groupBy(F.spark_partition_id()).agg(F.array(F.sum(F.col("v")[0]), F.sum(F.col("v")[1])).alias("v")).select("v").repartition(40)
+    assert added(parts, 2, lot=3).tolist() == [199 * 100.0, 200.0]
+
+
+def test_long_runs_of_marks():
+    v = pieces.Vocabulary.load(pieces.default_model())
+    for n in (49, 64, 200):
+        word = pieces.MARK * n + "abc"
+        parts = list(word)
+        while len(parts) > 1:  # the rule, by trial of all pairs
+            found = [(-v.scores[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in v.scores]
+            if not found:
+                break
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert v.merged(word) == parts
+    assert "".join(v.merged(pieces.MARK * 100_000)) == pieces.MARK * 100_000
+
+
+def test_vectors_on_odd_tables(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1e-9]), (1, [1.0, 1e-9]), (None, [2.0, 0.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>").withColumns({c: F.lit("clash") for c in ("id", "v", "cls", "n", "tile", "a", "b")})
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(rows).collect())
+    assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("3", 0, 3, True), ("None", 2, 1, False)]
+    assert vectors.near_vectors(rows.limit(0)).count() == 0
+
+
+def test_double_vectors_keep_their_precision(spark):
+    angle = np.arccos(0.95)
+    just = [(0, [1.0, 0.0]), (1, [float(np.cos(angle - 1e-10)), float(np.sin(angle - 1e-10))]), (2, [float(np.cos(angle + 1e-10)), -float(np.sin(angle + 1e-10))])]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(spark.createDataFrame(just, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0}
+
+
+def picture(rng):
+    blend = np.maximum(1 - np.abs(np.linspace(0, 7, 64)[:, None] - np.arange(8)), 0)
+    return blend @ rng.integers(30, 220, (8, 8)) @ blend.T
+
+
+def test_image_copies_are_found_as_all_pairs_find_them(spark):
+    """Of the links that comparing all pairs finds among crops, edits, noise and turns, nine in ten at least."""
+    rng = np.random.default_rng(21)
+    pics = []
+    for _ in range(12):
+        p = picture(rng)
+        pics += [p, p[4:62, 3:60], p * 0.85 + 15, p + rng.normal(0, 3, p.shape), np.rot90(p), p[2:, 5:] * 1.1]
+    pics = [np.ascontiguousarray(np.clip(np.rint(p), 0, 255).astype(np.uint8)) for p in pics]
+    found = [images.features(p[None])[0] for p in pics]
+    low = list(range(len(pics)))
+    for i in range(len(pics)):
+        for j in range(i):
+            if low[i] != low[j] and images.agreement(found[j], found[i]) >= 8:
+                low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    rows = spark.createDataFrame([(k, *p.shape, p.tobytes()) for k, p in enumerate(pics)], "id bigint, height int, width int, pixels binary")
+    got = {r["id"]: r["copy_id"] for r in images.near_images(rows.withColumns({c: F.lit("clash") for c in ("key", "word", "root", "n", "a", "b")})).collect()}
+    linked = [k for k in range(len(pics)) if low[k] != k]
+    right = sum(got[k] == low[k] for k in linked)
+    assert len(linked) > 40 and right >= 0.9 * len(linked)
+    assert all(got[k] >= low[k] for k in range(len(pics)))  # and no link that all pairs don't have
+    assert images.near_images(rows.limit(0)).count() == 0
+
+
+def test_chat_chain(spark):
+    """A call that uses the result of an earlier one comes after it; a result that came too early stands at its call."""
+    call = lambda i: f'{{"tool_calls":[{{"id":"{i}","name":"reply","arguments":{{"text":"t","words":1}}}}]}}'
+    result = lambda i: f'{{"tool_call_id":"{i}","content":"done"}}'
+    rows = [(1, 0, "user", "go"), (1, 1, "assistant", call("a")), (1, 2, "tool", result("a")), (1, 3, "tool", result("b")), (1, 4, "assistant", call("b")), (1, 5, "assistant", call("c")), (1, 6, "tool", result("c"))]
+    got = chat.chat_format(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), chat.REPLY)
+    order = [(r["kind"], r["call_id"]) for r in got.orderBy("conv_id", "place", "step", "turn", "seq").collect()]
+    assert order == [("message", None), ("call", "a"), ("result", "a"), ("call", "b"), ("result", "b"), ("call", "c"), ("result", "c")]
