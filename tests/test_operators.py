@@ -1,7 +1,11 @@
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from logweave import lineage
+from logweave.functions import align, equivalence
 from logweave.functions.registry import register
 from logweave.operators import adjudicate, clusters, matching, metrics, similarity
 from logweave.plans import miner, sequential
@@ -119,3 +123,117 @@ def test_outputs(spark, lines, tmp_path):
     logs.write_templates(assigned, str(tmp_path / "t"))
     back = logs.read_truth(spark, str(tmp_path / "t"), "EventId STRING, EventTemplate STRING, Occurrences BIGINT").toPandas()
     assert isinstance(back, pd.DataFrame) and back.Occurrences.sum() == 17
+
+
+def test_consolidation_is_directed(spark):
+    """A template takes only one that covers it, and one that none covers."""
+    texts = ["open file 5", "open file <*>", "open <*> 5", "open file 7", "open <*> <*>x", "close <*>", "close 5", "<*>"]
+    templates = spark.createDataFrame(list(enumerate(texts)), "tid int, template string")
+    found = {r["tid"]: r["template"] for r in clusters.consolidated(templates).collect()}
+    for k, text in enumerate(texts):
+        assert found[k] == text or align.cover(text, found[k]) == (True, found[k])
+    assert found[3] == "open file <*>" and found[6] == "close <*>" and found[1] == texts[1] and found[2] == texts[2]
+
+
+def test_every_line_matches_its_template(spark):
+    texts = ["open file 5", "open file 7", "open disk 5", "open disk a5", "open file x9 now", "job 1 on 10.0.0.1", "job 2 on /a/b", "job three on 4:5", "x", "x 1 2 3", "a=b,c=4"]
+    lines = spark.createDataFrame([(k, f"{t} {k % 3}") for k, t in enumerate(texts * 3)], "LineId bigint, Content string")
+    assigned, templates = miner.mine(lines)
+    rows = assigned.join(lines, "LineId").collect()
+    assert len(rows) == lines.count() == sum(r["Occurrences"] for r in templates.collect())
+    for r in rows:
+        parts = r["EventTemplate"].split("<*>")
+        assert re.fullmatch(".*".join(map(re.escape, parts)), r["Content"]), r
+    assert sorted(r["EventId"] for r in templates.collect()) == list(range(templates.count()))
+
+
+def test_merge_answers_count(spark):
+    lines = spark.createDataFrame([(k, f"disk is {'full' if k % 2 else 'slow'} now") for k in range(6)], "LineId bigint, Content string")
+    names = lambda found: sorted(r["EventTemplate"] for r in found[1].collect())
+    assert names(miner.mine(lines)) == ["disk is full now", "disk is slow now"]
+    said = spark.createDataFrame([("disk is slow now", "disk is full now", "Yes.")], "key1 string, key2 string, answer string")
+    assert names(miner.mine(lines, miner.Answers(merge=said))) == ["disk is <*> now"]
+    assert names(miner.mine(lines, miner.Answers(merge=said.withColumn("answer", F.lit("No"))))) == ["disk is full now", "disk is slow now"]
+
+
+def test_stream_matches_known_templates_first(spark, tmp_path):
+    out, source = str(tmp_path / "out"), str(tmp_path / "in")
+    batch = lambda rows: spark.createDataFrame(rows, "LineId bigint, Content string").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("LineId bigint, Content string").parquet(source)
+        online.mine_stream(stream, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    batch([(k, f"user {k} logged in") for k in range(5)])
+    run()
+    before = online.known_classes(spark, out).collect()
+    batch([(k, f"user {k} logged in") for k in range(70, 75)])
+    run()
+    assert sorted(before) == sorted(online.known_classes(spark, out).collect())
+    assert [(r["EventTemplate"], r["Occurrences"]) for r in online.current_templates(spark, out).collect()] == [("user <*> logged in", 10)]
+
+
+class Canned:
+    """A client that says what it is told to, and is pickled with the task."""
+
+    def __call__(self):
+        return lambda prompt: "Yes" if "same template" in prompt else "No" if "snippet" in prompt else "<START>unit <*> up<END>" if "Log: <START>unit" in prompt else "<START><END>"
+
+
+def test_backend_is_asked_and_remembered(spark, tmp_path):
+    pool = spark.createDataFrame([("unit a7 down", "unit <*> down"), ("other text", "other text")], "content string, template string")
+    backend = miner.Backend(Canned(), pool, k=1, candidates=2)
+    logs_ = spark.createDataFrame([("unit b1 up",)], "log string")
+    shown = backend.examples(logs_).first()["examples"]
+    assert [(e["content"], e["template"]) for e in shown] == [("unit a7 down", "unit <*> down")]
+    lines = spark.createDataFrame([(1, "unit core up"), (2, "unit edge up")], "LineId bigint, Content string")
+    found = miner.mined(lines, backend=backend)
+    assert {r["EventTemplate"] for r in found.templates.collect()} == {"unit <*> up"}
+    path = str(tmp_path / "cache_extract" / "X.json")
+    logs.write_answers(backend.said["extract"], path)
+    back = {r["key1"]: r["answer"] for r in logs.read_answers(spark, path, 1).collect()}
+    assert back and set(back.values()) == {"<START>unit <*> up<END>"}
+
+
+def test_evaluate_files(spark, lines, tmp_path):
+    rows = lines.select("LineId", "Content", F.regexp_replace("Content", "[0-9]+|/.*", "<*>").alias("EventTemplate")).withColumn("EventId", F.when(F.col("Content").startswith("user"), "E1").otherwise("E2"))
+    logs.write_structured(rows, str(tmp_path / "truth.csv"))
+    logs.write_structured(rows.withColumn("EventId", F.col("EventTemplate")), str(tmp_path / "parsed.csv"))
+    one = metrics.evaluate(spark, str(tmp_path / "truth.csv"), str(tmp_path / "parsed.csv")).first()
+    assert tuple(one) == (1.0, 1.0, 1.0, 1.0)
+    table = metrics.benchmark(spark, {"X": (str(tmp_path / "truth.csv"), str(tmp_path / "parsed.csv"))})
+    assert {(r["metric"], r["X"]) for r in table.collect()} == {(m, 1.0) for m in ("ga", "pa", "pta", "rta")}
+
+
+def test_matching_prefers_constants_and_looks_up_prefixes(spark):
+    names = [(1, "a<*>"), (2, "ab<*>"), (3, "abc"), (4, "<*>c"), (5, "a very long literal start <*>")]
+    templates = spark.createDataFrame([(k, t, matching.pattern(t, ["0-9" if k == 4 else "a-zA-Z0-9 "])) for k, t in names], "cid bigint, template string, pattern string")
+    rows = spark.createDataFrame([(x,) for x in ("abc", "abd", "axc", "77c", "a very long literal start 7", "abc", None)], "content string")
+    for limit in (10, 1):
+        found = [(r["content"], r["cid"]) for r in matching.matched(rows, templates, limit=limit).collect()]
+        assert sorted(found, key=str) == sorted([("abc", 3), ("abc", 3), ("abd", 2), ("axc", 1), ("77c", 4), ("a very long literal start 7", 5), (None, None)], key=str)
+
+
+def test_too_many_to_compare(spark):
+    rows = spark.range(similarity.CHOSEN_MOST + 1).select(F.col("id").alias("cid"), F.lit("x").alias("text"))
+    with pytest.raises(ValueError, match="more than"):
+        similarity.nearest_by_distance(rows.withColumnRenamed("cid", "qid"), rows)
+
+
+def test_rules_reach_their_fixpoint(spark):
+    deep = "(" * 12 + "<*>" + ")" * 12
+    row = spark.createDataFrame([(deep, "((<*>)", "x")], "a string, b string, c string").select(*(equivalence.normalised(c).alias(c) for c in "abc")).first()
+    assert tuple(row) == ("<*>", "(<*>", "x")
+
+
+def test_lineage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, _logweave_folder = "spark://host:7077", None
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        lineage._shared_folder(Session())
