@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def renamed(table: DataFrame, **columns: str) -> DataFrame:
+    """Columns of a table that cut() wrote, under other names; forget() still knows it."""
+    out = table.select(*(table[old].alias(new) for old, new in columns.items()))
+    out._logweave_path = table._logweave_path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more; other frames are left as they are."""
     for df in tables:
