@@ -16,4 +16,4 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_embedding_dedup": vectors.query,
 }
-ORACLE: dict[str, str] = {"op1_minhash_dedup": minhash.ORACLE, "op5_chat_format": chat.ORACLE}
+ORACLE: dict[str, str] = {"op1_minhash_dedup": minhash.ORACLE, "op5_chat_format": chat.ORACLE, "op10_embedding_dedup": vectors.ORACLE}

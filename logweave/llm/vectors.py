@@ -203,5 +203,23 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"))
 
 
+#: All pairs, in DuckDB's SQL.
+ORACLE = """
+with recursive fit as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from fit a join fit b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95
+), reached(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from reached r join links l on r.b = l.a
+), least_of as (
+  select a, min(b) as component_id from reached group by a
+), degree as (
+  select a, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join least_of on least_of.a = vec_id left join degree on degree.a = vec_id"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
