@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, forget
+from logweave.llm.common import cut, forget, renamed
 
 #: Edges that one task may finish: a fixed bound, whatever the input.
 SMALL = 15_000
@@ -70,6 +70,9 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         forget(above)
     if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if len(steps) == 1:
+        forget(live)
+        return renamed(steps[0], node="node", to="root")
     found = steps[0].select("node", F.col("to").alias("root"))
     for target in steps[1:]:
         target = target.select(F.col("node").alias("at"), "to")
