@@ -1,8 +1,8 @@
 """Embedding near-duplicates: PCA-ordered, tiled, exact cosine comparison.
 
 Equal vectors are one class from the start. Unit vectors are rotated to their
-principal axes, which leaves products as they are, and cut into tiles along the
-first one. A pair of tiles is compared only if boxes around their leading
+principal axes, which leaves products as they are, and cut into tiles by a k-d tree over the
+leading ones. A pair of tiles is compared only if boxes around their leading
 coordinates come near enough. Within it, products of the leading dimensions are
 accumulated first; what the rest can add is bounded by the suffix norms (Cauchy and
 Schwarz), and a pair is dropped once its cosine cannot reach the threshold. What
@@ -13,6 +13,8 @@ edge, so that its output is linear in its rows however dense the links are.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,25 +83,60 @@ def _lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def _tiles(classes: DataFrame, dim: int, axes: np.ndarray, size: int) -> DataFrame:
-    """(tile, low, high, cls, n, v): vectors in order of their first principal coordinate, `size` to a tile or so."""
+def _halved(rows: np.ndarray, leaves: int, names) -> tuple | int:
+    """A k-d tree of so many leaves: (axis, value, below, above), split along the axis of the widest spread; a leaf is its number."""
+    spread = rows.std(axis=0) if len(rows) > 16 else np.zeros(1)
+    if leaves < 2 or not spread.any():
+        return next(names)
+    axis = int(spread.argmax())
+    low = leaves // 2
+    value = float(np.quantile(rows[:, axis], low / leaves))
+    below = rows[:, axis] <= value
+    if below.all() or not below.any():
+        return next(names)
+    return axis, value, _halved(rows[below], low, names), _halved(rows[~below], leaves - low, names)
+
+
+def _leaf_of(tree: tuple | int, rows: np.ndarray) -> np.ndarray:
+    out, waiting = np.empty(len(rows), np.int64), [(tree, np.arange(len(rows)))]
+    while waiting:
+        node, at = waiting.pop()
+        if isinstance(node, int):
+            out[at] = node
+            continue
+        axis, value, low, high = node
+        below = rows[at, axis] <= value
+        waiting += [(low, at[below]), (high, at[~below])]
+    return out
+
+
+def _tiles(classes: DataFrame, dim: int, axes: np.ndarray, size: int, sample: int = 100_000) -> DataFrame:
+    """(tile, low, high, cls, n, v): vectors by leaves of a k-d tree over their leading principal coordinates, `size` to a tile or so.
+
+    The tree is fitted on some `sample` vectors at most, chosen by hash; every vector is in a tile, whose box holds all its members.
+    """
+    kind = classes.schema["v"].dataType.elementType.simpleString()
+    box = min(BOX, dim)
 
     def first(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array((_unit(batch, dim) @ axes[:, 0])), batch.column("v")], ["cls", "n", "y", "v"])
+            lead = _unit(batch, dim) @ axes[:, :box]
+            y = pa.ListArray.from_arrays(pa.array(np.arange(len(lead) + 1, dtype=np.int32) * box), pa.array(lead.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), y, batch.column("v")], ["cls", "n", "y", "v"])
 
-    kind = classes.schema["v"].dataType.elementType.simpleString()
-    placed = cut(classes.mapInArrow(first, f"cls bigint, n bigint, y double, v array<{kind}>"))
-    parts = max(1, -(-placed.count() // size))
-    edges = np.array(placed.approxQuantile("y", [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else np.empty(0)
+    placed = cut(classes.mapInArrow(first, f"cls bigint, n bigint, y array<double>, v array<{kind}>"))
+    count, cells = placed.count(), 1 << 20
+    share = min(cells, int(cells * sample / max(count, 1)))
+    seen = placed.where(F.pmod(F.xxhash64("cls"), F.lit(cells)) < share).select("y").toPandas()["y"]
+    tree = _halved(np.array(seen.tolist(), np.float64).reshape(-1, box), max(1, -(-count // size)), itertools.count())
 
     def number(batches):
         for batch in batches:
-            tile = np.searchsorted(edges, batch.column("y").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int64)), *(batch.column(c) for c in ("cls", "n", "y", "v"))], ["tile", "cls", "n", "y", "v"])
+            tile = _leaf_of(tree, batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(-1, box))
+            yield pa.RecordBatch.from_arrays([pa.array(tile), *(batch.column(c) for c in ("cls", "n", "v"))], ["tile", "cls", "n", "v"])
 
     def lay(group: pa.Table) -> pa.Table:
-        group = group.sort_by("y")
+        group = group.take(np.argsort(_unit(group, dim) @ axes[:, 0], kind="stable"))
         rows = {c: [] for c in ("tile", "low", "high", "cls", "n", "v")}
         for k, at in enumerate(range(0, group.num_rows, 2 * size)):
             part = group.slice(at, 2 * size)
@@ -113,21 +150,26 @@ def _tiles(classes: DataFrame, dim: int, axes: np.ndarray, size: int) -> DataFra
         kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    numbered = placed.mapInArrow(number, f"tile bigint, cls bigint, n bigint, y double, v array<{kind}>")
+    numbered = placed.mapInArrow(number, f"tile bigint, cls bigint, n bigint, v array<{kind}>")
     return cut(numbered.groupBy("tile").applyInArrow(lay, "tile bigint, low array<double>, high array<double>, cls binary, n binary, v binary"))
 
 
 def _near(tiles: DataFrame, reach: float) -> DataFrame:
-    """Pairs (a, b), a <= b, of tiles whose boxes are within `reach`; found by cells of the first coordinate."""
-    cell = lambda c: F.floor(F.col(c)[0] / reach)
+    """Pairs (a, b), a <= b, of tiles whose boxes are within `reach`; found by cells of the first two coordinates."""
+    cell = lambda c, k: F.floor(F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0.0)) / reach)
     box = tiles.select("tile", "low", "high")
-    one = box.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
-    two = box.select(F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
+
+    def spread(s: str, more: int) -> DataFrame:
+        rows = box.select(F.col("tile").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
+        for k in (1, 2):
+            rows = rows.withColumn(f"cell{k}", F.explode(F.sequence(cell(f"low_{s}", k) - more, cell(f"high_{s}", k) + more)))
+        return rows
+
     gap = F.aggregate(
         F.arrays_zip("low_a", "high_a", "low_b", "high_b"), F.lit(0.0),
         lambda s, x: s + F.pow(F.greatest(F.lit(0.0), x["low_a"] - x["high_b"], x["low_b"] - x["high_a"]), F.lit(2)),
     )
-    met = one.join(two, "cell").where(F.col("a") <= F.col("b"))
+    met = spread("a", 0).join(spread("b", 1), ["cell1", "cell2"]).where(F.col("a") <= F.col("b"))
     return met.where(gap <= reach * reach + 1e-9).select("a", "b").distinct()
 
 
