@@ -44,7 +44,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     Each open segment knows the nearest earlier one that begins at a smaller total, so that a search
     passes over a segment once. Non-positive tokens between two positive ones are passed over at once.
     """
-    total = np.concatenate([[0.0], np.cumsum(scores)])
+    total = [0.0, *np.cumsum(scores).tolist()]  # plain numbers: they are looked at one by one
     open_: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, nearest earlier of smaller total before
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, low, high = i, i + 1, total[i], total[i + 1]
