@@ -279,6 +279,33 @@ def test_minhash_in_crowds(spark):
         assert [got[k] for k in range(len(texts))] == low
 
 
+def test_minhash_ends_large_crowds_in_few_turns(spark, monkeypatch):
+    """Near copies of one text, some just beyond a link with it, and of a much longer text that holds it: all pairs' result, without a turn for each hub."""
+    rng = np.random.default_rng(31)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    base, texts = [word() for _ in range(100)], []
+    for k in range(240):
+        words = list(base)
+        for _ in range(rng.integers(1, 8)):
+            at = rng.integers(0, len(words))
+            words[at : at + rng.integers(0, 2)] = [word()] * rng.integers(0, 2)
+        texts.append(words + ([word() for _ in range(rng.integers(15, 25))] if k % 6 == 0 else []))
+    texts += [base, base + [word() for _ in range(25)], base + [word() for _ in range(120)], base * 2 + [word() for _ in range(260)]]
+    texts = [" ".join(x) for x in texts]
+    sets = [word_set(t, 4) for t in texts]
+    low = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if low[i] != low[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    turns, star = [], minhash._star
+    monkeypatch.setattr(minhash, "_star", lambda *args: turns.append(1) or star(*args))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows, width=4, few=32).collect()}
+    assert [got[k] for k in range(len(texts))] == low and len(set(low)) > 1
+    assert len(turns) <= 2
+
+
 def test_suffix_tree_on_a_tiny_corpus(spark):
     """Scores against the model written out token by token."""
     lines = ["a b a b a c", "a b a b", "red rare1 rare2 blue", "red rare1 rare2 blue", "b a", "", None] + ["the dog ran"] * 9 + ["the cat ran"] * 3
