@@ -7,10 +7,13 @@ each is cut into words of `WORD` bits and entered under every one, so that two
 within BITS / WORD - 1 bits always share an entry; of two that differ by more, some word
 is equal often enough that copies, which have many descriptors in common, share several entries. An entry's rows are joined with
 one hub, never with each other: the member of the least hash, which varies with the
-seed of the round. Entries whose members are of one component leave after each round; copies that no
-hub of any round joins are missed, and the tests measure how many.
+seed of the round. Entries whose members are of one component leave after each round.
 A candidate pair is confirmed by matching both images'
 descriptors and counting the matches that agree on one scale, turn and shift.
+
+Copies that no hub joins are found by an exact check that follows: images meet block by block, each pair of
+two components that has matches enough for a link, whatever their shifts, is confirmed likewise. No pair is
+left out, so the result is that of all pairs; this part's work is quadratic in distinct images, by matrix products.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from logweave.llm.common import cut, forget, mix, rows_for, table
 from logweave.llm.components import components
 
 BITS, WORD, RADIUS, TURNS = 128, 32, 6, 32
+MOST = 20  # differing bits of a match
 _APART = np.uint64(0xC2B2AE3D27D4EB4F)
 _rng = np.random.default_rng(11)
 _pairs = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
@@ -96,7 +100,7 @@ def features(images: np.ndarray, scales: int = 2, corners: int = 48, least: floa
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
-def agreement(a: np.ndarray, b: np.ndarray, most: int = 20) -> int:
+def agreement(a: np.ndarray, b: np.ndarray, most: int = MOST) -> int:
     """Matches between two images' features that agree on scale, turn and shift."""
     if not len(a) or not len(b):
         return 0
@@ -155,11 +159,81 @@ def _confirmed(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Images of a block of the exact check, and cells of one matrix product.
+BLOCK, CELLS = 512, 1 << 24
+
+
+def _unjoined(found: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) that join what is still of two components, of all pairs: every block of images meets every block."""
+    rows = found.where(F.col("n") >= least).join(label, "key").select("key", "root", "features")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    rows = rows.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "features")
+
+    def meet(group: pa.Table) -> pa.Table:
+        key, root, block = (group.column(c).to_numpy() for c in ("key", "root", "block"))
+        one, two = np.flatnonzero(block == group.column("i")[0].as_py()), np.flatnonzero(block == group.column("j")[0].as_py())
+        feats = [np.frombuffer(x, FEATURE) for x in group.column("features").to_pylist()]
+        above, links = {r: r for r in root.tolist()}, []
+
+        def top(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        def signs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            all_ = np.concatenate([np.zeros(0, FEATURE), *(feats[k] for k in at)])
+            return np.unpackbits(all_["bits"], axis=1).astype(np.float32) * 2 - 1, np.repeat(at, [len(feats[k]) for k in at]), all_
+
+        (x, of_x, x_of), (y, of_y, y_of) = signs(one), signs(two)
+        at_y = np.flatnonzero(np.diff(of_y, prepend=-1))
+        image_y = np.searchsorted(at_y, np.arange(len(y)), "right") - 1
+        ends = np.flatnonzero(np.diff(of_x, append=-1)) + 1  # an image's descriptors stay together
+        start, step = 0, max(1, CELLS // max(1, len(y)))
+        while start < len(x) and len(y):
+            end = max(ends[np.searchsorted(ends, start, "right")], ends[max(0, np.searchsorted(ends, start + step, "right") - 1)])
+            dot, at_x = x[start:end] @ y.T, np.flatnonzero(np.diff(of_x[start:end], prepend=-1))
+            r, c = np.nonzero(dot >= BITS - 2 * MOST)
+            best = np.maximum.reduceat(dot, at_y, axis=1)[r, image_y[c]], np.maximum.reduceat(dot, at_x, axis=0)[np.searchsorted(at_x, r, "right") - 1, c]
+            good = (dot[r, c] == best[0]) & (dot[r, c] == best[1])  # nearest on both sides, ties included
+            r, c = r[good], c[good]
+            # a link has `least` matches of one step of scale within three neighbouring turns
+            scale, turn = 256 + y_of["scale"][c].astype(np.int64) - x_of["scale"][start + r], (y_of["turn"][c].astype(np.int64) - x_of["turn"][start + r]) % TURNS
+            code, times = np.unique(((of_x[start + r] * len(key) + of_y[c]) * 512 + scale) * TURNS + turn, return_counts=True)
+            around = times.copy()
+            for side in (1, TURNS - 1):
+                beside = code - code % TURNS + (code + side) % TURNS
+                k = np.minimum(np.searchsorted(code, beside), max(0, len(code) - 1))
+                around += np.where(code[k] == beside, times[k], 0)
+            pairs = np.unique(code[around >= least] // (512 * TURNS))
+            for a, b in zip(*(z.tolist() for z in np.divmod(pairs, len(key))), strict=True):
+                if key[a] > key[b]:
+                    a, b = b, a
+                u, v = top(root[a]), top(root[b])
+                if u != v and agreement(feats[a], feats[b]) >= least:
+                    above[u] = v
+                    links.append((key[a], key[b]))
+            start = end
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("i", "j").applyInArrow(meet, "a bigint, b bigint")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (key, root) after links (a, b) between keys; the table of the labels before goes."""
+    known = label.select(F.col("key").alias("a"), F.col("root").alias("root_a")), label.select(F.col("key").alias("b"), F.col("root").alias("root_b"))
+    merged = components(links.join(known[0], "a").join(known[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    after = cut(label.join(merged, label["root"] == merged["node"], "left").select("key", F.coalesce(merged["root"], label["root"]).alias("root")))
+    forget(label)
+    return after
+
+
 def near_images(images: DataFrame, id_col: str = "id", least: int = 8, rounds: int = 3, shared: int = 3) -> DataFrame:
     """(id, n_features, copy_id, kept) for rows (id, height, width, pixels); copy_id is the smallest id that links reach.
 
-    shared: entries that two images have in common before they are compared. least: agreeing matches of a
-    link. Images that are null, or whose pixels don't fill height x width, have no features and stand alone, as do images without enough corners, but
+    shared: entries that two images have in common before a round compares them; the exact check that follows compares all
+    the rest, so rounds and shared change the work alone. least: agreeing matches of a link. Images that are null, or whose pixels don't fill height x width, have no features and stand alone, as do images without enough corners, but
     images equal in every pixel are copies in any case. A null id counts as larger than any other; an empty table
     gives no rows.
     """
@@ -178,13 +252,13 @@ def near_images(images: DataFrame, id_col: str = "id", least: int = 8, rounds: i
         known = label.select(F.col("key").alias("a"), F.col("root").alias("root_a")), label.select(F.col("key").alias("b"), F.col("root").alias("root_b"))
         pairs = near.where(F.col("common") >= shared).join(known[0], "a").join(known[1], "b").where("root_a <> root_b")
         links = _confirmed(pairs.select("a", "b"), found.select("key", "features"), least)
-        ends = links.join(known[0], "a").join(known[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        merged = components(ends)
-        above, label = label, cut(label.join(merged, label["root"] == merged["node"], "left").select("key", F.coalesce(merged["root"], label["root"]).alias("root")))
+        label = _joined(label, links)
         rooted = live.join(label, "key")
         mixed = rooted.groupBy("word").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("word")
         before, live = live, cut(live.join(mixed, "word", "left_semi"))  # entries of one component are done
-        forget(above, before)
+        forget(before)
+    forget(live)
+    label = _joined(label, _unjoined(found, label, least))
     roots = label.select(F.col("key").alias("node"), "root")
     named = classes.select("key", "id").join(found.select("key", "n"), "key").join(roots, F.col("key") == roots.node, "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
     named = cut(named)

@@ -437,6 +437,28 @@ def test_image_copies_are_found_as_all_pairs_find_them(spark):
     assert images.near_images(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_image_copies_that_no_hub_joins(spark, monkeypatch, block):
+    """Without a candidate from the table every link of all pairs is still found, block by block."""
+    monkeypatch.setattr(images, "BLOCK", block)
+    monkeypatch.setattr(images, "CELLS", 2000)
+    rng = np.random.default_rng(22)
+    pics = []
+    for _ in range(6):
+        p = picture(rng)
+        pics += [p, p[4:62, 3:60], p + rng.normal(0, 3, p.shape), np.full((64, 64), len(pics))]
+    pics = [np.ascontiguousarray(np.clip(np.rint(p), 0, 255).astype(np.uint8)) for p in pics]
+    found = [images.features(p[None])[0] for p in pics]
+    low = list(range(len(pics)))
+    for i in range(len(pics)):
+        for j in range(i):
+            if low[i] != low[j] and max(images.agreement(found[j], found[i]), images.agreement(found[i], found[j])) >= 8:
+                low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    rows = spark.createDataFrame([(k, *p.shape, p.tobytes()) for k, p in enumerate(pics)], "id bigint, height int, width int, pixels binary")
+    got = {r["id"]: r["copy_id"] for r in images.near_images(rows, shared=10**6).collect()}
+    assert [got[k] for k in range(len(pics))] == low and len(set(low)) < len(pics) - 8
+
+
 def test_chat_chain(spark):
     """A call that uses the result of an earlier one comes after it; a result that came too early stands at its call."""
     call = lambda i: f'{{"tool_calls":[{{"id":"{i}","name":"reply","arguments":{{"text":"t","words":1}}}}]}}'
