@@ -467,3 +467,13 @@ def test_chat_chain(spark):
     got = chat.chat_format(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), chat.REPLY)
     order = [(r["kind"], r["call_id"]) for r in got.orderBy("conv_id", "place", "step", "turn", "seq").collect()]
     assert order == [("message", None), ("call", "a"), ("result", "a"), ("call", "b"), ("result", "b"), ("call", "c"), ("result", "c")]
+
+
+def test_minhash_sweeps_the_driver(spark):
+    """Each turn over crowds collects the driver's garbage, which else fills its heap whatever lives."""
+    beans = lambda: {b.getName(): b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()}
+    whole = lambda: sum(n for name, n in beans().items() if "Old" in name or "MarkSweep" in name)
+    rows = spark.createDataFrame([(k, f"a b c d e f g h i j k l m n o p q r s t u v w {k % 2}") for k in range(6)], "doc_id bigint, text string")
+    before = whole()
+    assert [r["component_id"] for r in minhash.near_duplicates(rows, width=4).orderBy("doc_id").collect()] == [0] * 6
+    assert whole() - before >= 3
