@@ -477,3 +477,11 @@ def test_minhash_sweeps_the_driver(spark):
     before = whole()
     assert [r["component_id"] for r in minhash.near_duplicates(rows, width=4).orderBy("doc_id").collect()] == [0] * 6
     assert whole() - before >= 3
+
+
+def test_kinds_of_many_words():
+    """Kinds of a list of words, without a table that remembers them, are those of each word."""
+    kinds = suffix_tree.Kinds({b"the": 1, b"": 2, b"an": 3}, {b"ng": 4, b"a": 5, b"he": 6})
+    words = [b"the", b"", b"an", b"sing", b"ng", b"a", b"he", b"zzz", b"sing", b"the"]
+    assert kinds.numbers(words).tolist() == [kinds.of(w) for w in words] == [1, 2, 3, 4, 4, 5, 6, 0, 4, 1]
+    assert kinds.numbers([]).tolist() == []
